@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, language, near_dedup, packing, sharding, toxicity
+from quillon.llm import bpe, exact_dedup, language, near_dedup, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_packing": packing.op3_packing,
+    "op5_bpe": bpe.op5_bpe,
     "op6_language_id": language.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
