@@ -80,8 +80,10 @@ def test_held_out_documents(spark, sf):
 
 
 def test_awkward_rows(spark):
-    toxic = [(i, f"w{i % 7} w{i % 11} vile w{i % 13} w{i} tail", 1) for i in range(40)]
-    plain = [(100 + i, f"w{i % 7} w{i % 11} kind w{i % 13} w{i} tail", 0) for i in range(40)]
+    rng = np.random.default_rng(3)
+    some = lambda: " ".join(f"w{x}" for x in rng.integers(0, 60, 12))
+    toxic = [(i, f"{some()} vile {some()}", 1) for i in range(60)]
+    plain = [(100 + i, f"{some()} kind {some()}", 0) for i in range(60)]
     docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t, _ in toxic + plain], "doc_id bigint, text string, spans string, score double")
     labels = spark.createDataFrame([(i, x, 1) for i, _, x in toxic + plain] + [(None, 1, 1), (5, None, 1)], "doc_id bigint, toxic int, quality int")
     field = T.train(docs, labels)
