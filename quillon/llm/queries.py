@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, language, near_dedup, packing, sharding, toxicity
+from quillon.llm import bpe, exact_dedup, language, matroska, near_dedup, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_media": matroska.op2_media,
     "op3_packing": packing.op3_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": language.op6_language_id,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_media": matroska.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
