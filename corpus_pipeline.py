@@ -7,20 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.exact_dedup import drop_exact_duplicates
+from quillon.llm.language import keep_identified
+from quillon.llm.near_dedup import drop_near_duplicates
 from quillon.llm.packing import pack_documents
-from quillon.session import table, written
+from quillon.llm.substring import cut_repeats
+from quillon.session import prepare, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language of the corpus."""
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest identifier of each text."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which each long passage is left in one document."""
+    return cut_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of the words of all that is left."""
+    return pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", lambda spark, docs, sf_dir: drop_exact_duplicates(docs)),
-    ("packing", lambda spark, docs, sf_dir: pack_documents(docs)),
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
 ]
 
-ORACLE_SQL = None  # packing is not expressible in SQL
+#: Language models, alignment and differencing are not expressible in SQL; tests/llm/test_pipeline.py compares with brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

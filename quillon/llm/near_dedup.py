@@ -20,6 +20,7 @@ SKETCHES = 32
 #: partner of its could be in.
 CLASSES = ((2, 1, 16), (3, 16, 64), (4, 64, 1 << 60))
 FAN = 256
+BAG = 128
 
 
 def normal_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +89,21 @@ def sketch(codes: np.ndarray, of: np.ndarray, k: int, rows: np.ndarray, sketches
     return out
 
 
+def bags(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Counts of each row's words in BAG classes by hash, as bytes that stop at 255."""
+    row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    counts = np.bincount(row * BAG + (codes % U(BAG)).astype(np.int64), minlength=(len(of) - 1) * BAG)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, BAG)
+
+
+def least_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bound that no edit distance is below, from the bags of pairs of texts: an edit takes at most one word from
+    one side and one from the other."""
+    more = a.astype(np.int16) - b
+    up = np.maximum(more, 0).sum(1)
+    return np.maximum(up, up - more.sum(1))
+
+
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, buf, offs in pieces(batches):
         codes, of = normal_words(buf, offs)
@@ -98,6 +114,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(len(codes)) - np.repeat(of[:-1], n)
         p1 = np.add.reduceat(mix(codes + at.astype(np.uint64) * U(0x9E3779B97F4A7C15)), of[some])
         p2 = np.add.reduceat(mix((codes ^ U(0xA5A5A5A5A5A5A5A5)) * U(0xC2B2AE3D27D4EB4F) + at.astype(np.uint64) * U(0xFF51AFD7ED558CCD)), of[some])
+        bag = bags(codes, of)[some]
         for c, (k, lo, hi) in enumerate(CLASSES):
             own = np.flatnonzero((n[some] >= lo * SIMILARITY) & (n[some] <= hi / SIMILARITY))
             if not len(own):
@@ -105,7 +122,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = mix(sketch(codes, of, k, some[own]) + U(c * 1000))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SKETCHES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
             ids = batch.column(0).take(pa.array(some[own]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[some[own]].astype(np.int32)), pa.array(p1[own].view(np.int64)), pa.array(p2[own].view(np.int64)), flat], names=["doc_id", "n", "p1", "p2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[some[own]].astype(np.int32)), pa.array(p1[own].view(np.int64)), pa.array(p2[own].view(np.int64)), pa.array([x.tobytes() for x in bag[own]], pa.binary()), flat], names=["doc_id", "n", "p1", "p2", "bag", "keys"])
 
 
 def banded_distance(a: list[int], b: list[int], limit: int) -> int:
@@ -187,20 +204,25 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs in a bucket that are in different groups and of possible lengths."""
+    """All pairs in a bucket that are in different groups and that neither lengths nor bags of words rule out."""
     for batch in batches:
         for row in batch.column(0):
             flat = row.values
             ids, n, group = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "g"))
+            bag = np.frombuffer(b"".join(flat.field("bag").to_pylist()), np.uint8).reshape(-1, BAG)
             order = np.argsort(n, kind="stable")
-            ids, n, group = ids[order], n[order], group[order]
+            ids, n, group, bag = ids[order], n[order], group[order], bag[order]
             upto = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right")
-            for i in range(0, len(ids), 512):
-                count = upto[i : i + 512] - np.arange(i, min(i + 512, len(ids))) - 1
-                left = np.repeat(np.arange(i, min(i + 512, len(ids))), count)
+            step = max(1, (1 << 17) // len(ids))
+            for i in range(0, len(ids), step):
+                some = np.arange(i, min(i + step, len(ids)))
+                count = upto[some] - some - 1
+                left = np.repeat(some, count)
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
                 apart = group[left] != group[right]
                 left, right = left[apart], right[apart]
+                near = least_distance(bag[left], bag[right]) <= (1 - SIMILARITY) * n[right] + 1e-9
+                left, right = left[near], right[near]
                 if len(left):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], names=["a", "b"])
 
@@ -238,8 +260,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are sequences of lower-case words without punctuation. Two are near duplicates where their edit
     distance is at most 1 - SIMILARITY of the longer one; groups are connected components. Candidates share an
     Order MinHash sketch. Equal word sequences are grouped first. Then each bucket's smallest member is aligned
-    with the others, and after grouping, every pair of a bucket that is still in different groups, so no bucket
-    is cut and a bucket of thousands of copies costs thousands of alignments, not millions.
+    with the others, and after grouping, every pair of a bucket that is still in different groups and that a
+    lower bound on the distance, from counts of words, does not rule out. So no bucket is cut, a bucket of
+    thousands of copies costs thousands of alignments, and a line that thousands share costs none.
 
     Null ids, null texts and texts without words take no part. Rows that repeat an identifier are one document,
     never copies of themselves. An empty table gives no rows. Other columns are not read.
@@ -247,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(df.sparkSession)
     texts = clean(df, id_col, text_col)
     # an identifier in several classes or rows has several rows here
-    made = written(texts.mapInArrow(sketches, "doc_id bigint, n int, p1 bigint, p2 bigint, keys array<bigint>"), "sketches")
+    made = written(texts.mapInArrow(sketches, "doc_id bigint, n int, p1 bigint, p2 bigint, bag binary, keys array<bigint>"), "sketches")
     same = written(made.select("doc_id", F.min("doc_id").over(Window.partitionBy("p1", "p2")).alias("low")).where("doc_id <> low").distinct(), "same")
     singles = matching(made, same.select("doc_id").distinct(), ["doc_id"], "left_anti")
     buckets = written(
@@ -256,9 +279,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = written(buckets.select("members").mapInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
     edges = written(verified(first, texts), "edges")
     groups = components(edges)
-    member = buckets.select("key", F.inline("members")).join(F.broadcast(groups) if small(groups) else groups, "doc_id", "left")
-    open_ = member.withColumn("g", F.coalesce("group_id", "doc_id")).groupBy("key").agg(F.collect_list(F.struct("doc_id", "n", "g")).alias("members"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
-    second = written(open_.select("members").mapInArrow(crossings, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    member = buckets.select("key", F.inline("members")).join(F.broadcast(groups) if small(groups) else groups, "doc_id", "left").withColumn("g", F.coalesce("group_id", "doc_id")).drop("group_id")
+    split = written(member.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key"), "split")
+    bag = made.groupBy("doc_id").agg(F.min(F.struct("n", "bag")).alias("x")).select("doc_id", "x.n", "x.bag")
+    full = matching(member, split, ["key"]).join(bag, ["doc_id", "n"]).groupBy("key").agg(F.collect_list(F.struct("doc_id", "n", "g", "bag")).alias("members"))
+    second = written(full.select("members").mapInArrow(crossings, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = verified(second, texts)
     every = edges.unionByName(more).unionByName(same.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     return components(every).select("doc_id", F.col("group_id").alias("kept_doc_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, word_hashes
+from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, small, word_hashes
 from quillon.session import prepare, table, written
 
 LENGTH = 50  # words
@@ -347,6 +347,33 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).drop("run")
 
 
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """df with every passage of `length` words or more kept in its smallest document only.
+
+    The stretches that repeated_passages(later=True) reports are cut out of the texts, what is left on either side
+    is joined, and length_col, where df has it, becomes the new length. A document of which no word is left goes;
+    one that had none stays, as do rows without id or text. Rows that repeat an identifier keep their text.
+    """
+    cuts = written(repeated_passages(df, id_col, text_col, length, later=True).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("__cuts")).withColumnRenamed("doc_id", "__id"), "cuts")
+    rows = written(df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__many")), "many")
+    cuts = cuts.join(rows, F.col("__id") == F.col("__many"), "left_anti")
+    joined = df.join(F.broadcast(cuts) if small(cuts, 1_000_000) else cuts, F.col(id_col) == F.col("__id"), "left")
+    text = F.col(text_col)
+    # kept parts lie between the end of one cut and the start of the next
+    bounds = F.sequence(F.lit(0), F.size("__cuts"))
+    part = lambda i: text.substr(
+        F.when(i == 0, F.lit(1)).otherwise(F.try_element_at("__cuts", i)["end_char"].cast("int") + 1),
+        F.when(i == F.size("__cuts"), F.char_length(text)).otherwise(F.try_element_at("__cuts", i + 1)["start_char"].cast("int")) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__cuts", i)["end_char"].cast("int")),
+    )
+    rest = F.concat_ws("", F.transform(bounds, part))
+    hit = F.col("__cuts").isNotNull()
+    changes = {text_col: F.when(hit, rest).otherwise(text)}
+    if length_col and length_col in df.columns:
+        changes[length_col] = F.when(hit, F.char_length(rest)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType)
+    out = joined.withColumns(changes).where(~hit | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
+    return out.select(*df.columns)
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 

@@ -7,7 +7,7 @@ import pytest
 
 from quillon.llm.common import flat, find_words, fold, folded_hashes, word_hashes
 from quillon.llm.components import components
-from quillon.llm.near_dedup import alike, banded_distance, near_duplicates, normal_words, occurrences
+from quillon.llm.near_dedup import alike, bags, banded_distance, least_distance, near_duplicates, normal_words, occurrences
 
 SCHEMA = "doc_id bigint, text string, n string, key string, members string, g string, a string, b string"
 
@@ -37,6 +37,15 @@ def test_banded_distance(seed):
             assert alike(np.array(a, np.int64), np.array(b, np.int64), s) == (distance(a, b) <= int((1 - s) * most + 1e-9))
 
 
+def test_bags_bound_the_distance():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randrange(300) for _ in range(rng.randrange(1, 40))]
+        b = [x for x in a if rng.random() < 0.8] + [rng.randrange(300) for _ in range(rng.randrange(5))]
+        bag = bags(np.array(a + b, np.uint64), np.array([0, len(a), len(a) + len(b)]))
+        assert least_distance(bag[:1], bag[1:])[0] <= distance(a, b)
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 
