@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -43,3 +44,16 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows (which are counted), else as it is for a shuffled join.
+
+    For the query side of a search and for per-term statistics, whose rows are narrow.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def held(df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+    """df written once, for plans that read it more than once, and then as lookup() has it."""
+    return lookup(written(df, name), rows)
