@@ -16,6 +16,7 @@ from quillon.session import prepare, table, written
 LENGTH = 50  # words
 GRAM = 10
 SHARD = 1 << 20  # words in one index
+ASK = 16  # stretches of a window that are asked for as one
 
 
 # ------------------------------------------------------------------------------------------------------ wavelet tree
@@ -132,12 +133,18 @@ def matched(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray
 def repeats(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray, length: int, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start, end) of the matches of `length` words or more in each window text[begin : end].
 
-    From the window's end a match is followed to the left. The word that stops it is then the first of the next
-    try, whose end is the furthest to which the passage that begins there still matches (found by halving, since
-    a part of a match is a match). Each try moves to the left, and none that could reach `length` is left out.
+    A window is asked for in parts of ASK stretches of `length` words, side by side, so that a long window is no
+    longer chain of steps than a short one. From a part's end a match is followed to the left. The word that stops
+    it is then the first of the next try, whose end is the furthest to which the passage that begins there still
+    matches (found by halving, since a part of a match is a match). Each try moves to the left, and none that could
+    reach `length` is left out. What overlaps or touches in a window is one match in the result.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    window, at = np.arange(len(begin)), end.astype(np.int64).copy()
+    parts = np.maximum(-(-(end - begin - length + 1) // ASK), 0)
+    owner = np.repeat(np.arange(len(begin)), parts)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, end, own = begin[owner] + turn * ASK, np.minimum(begin[owner] + (turn + 1) * ASK + length - 1, end[owner]).astype(np.int64), own[owner]
+    window, at = np.arange(len(begin)), end.copy()
     while len(window):
         go = at[window] - begin[window] >= length
         window = window[go]
@@ -145,26 +152,32 @@ def repeats(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray
             break
         start = matched(index, text, begin[window], at[window], own[window], later)
         good = at[window] - start >= length
-        found.append((window[good], start[good], at[window][good]))
+        found.append((owner[window[good]], start[good], at[window][good]))
         more = start > begin[window]
         window, start = window[more], start[more]
-        # text[start - 1 : at] does not match; the largest end below at for which text[start - 1 : end] does
-        lo, hi = start - 1, np.minimum(at[window] - 1, start - 1 + length)
-        # an end beyond start - 1 + length is not needed: windows that far right are within the match just found, or too short
-        full = matched(index, text, start - 1, hi, own[window], later) == start - 1
-        lo = np.where(full, hi, lo)
-        hi = np.where(full, hi, hi - 1)
+        # text[start - 1 : at] does not match; the largest end below at for which text[start - 1 : end] does, where
+        # ends that leave no stretch of the part need not be told apart
+        lo = np.maximum(start - 1, begin[window] + length - 1)
+        hi = np.maximum(np.minimum(at[window] - 1, start - 1 + length), lo)
         while (lo < hi).any():
-            middle = np.where(lo < hi, (lo + hi + 1) // 2, lo)
             open_ = np.flatnonzero(lo < hi)
-            ok = matched(index, text, start[open_] - 1, middle[open_], own[window[open_]], later) == start[open_] - 1
-            lo[open_[ok]] = middle[open_[ok]]
-            hi[open_[~ok]] = middle[open_[~ok]] - 1
+            middle = (lo[open_] + hi[open_] + 1) // 2
+            ok = matched(index, text, start[open_] - 1, middle, own[window[open_]], later) == start[open_] - 1
+            lo[open_[ok]] = middle[ok]
+            hi[open_[~ok]] = middle[~ok] - 1
         at[window] = lo
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found))
+    which, start, stop = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((start, which))
+    which, start, stop = which[order], start[order], stop[order]
+    shift = which * (int(stop.max(initial=0)) + 1)  # windows do not reach into each other
+    reach = np.maximum.accumulate(stop + shift)
+    fresh = np.ones(len(which), bool)
+    fresh[1:] = start[1:] + shift[1:] > reach[:-1]
+    first = np.flatnonzero(fresh)
+    return which[first], start[first], (reach - shift)[np.append(first[1:], len(which))[: len(first)] - 1]
 
 
 # ------------------------------------------------------------------------------------------------------- candidates
