@@ -14,22 +14,16 @@ DEFINITION = re.compile(r"(?:class|const|def|function|impl|interface|let|mod|sta
 FUZZY_LEAST = 0.78
 
 
+#: What is neither letter nor digit.
+_GAP = re.compile(r"[\W_]+")
+
+
 def tokens(text: str) -> list[str]:
-    out: list[str] = []
-    run: list[str] = []
-    for ch in text.lower():
-        if ch.isalnum():
-            run.append(ch)
-        elif run:
-            out.append("".join(run))
-            run = []
-    if run:
-        out.append("".join(run))
-    return out
+    return [t for t in _GAP.split(text.lower()) if t]
 
 
 def compact(text: str) -> str:
-    return "".join(ch for ch in text.lower() if ch.isalnum())
+    return _GAP.sub("", text.lower())
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -70,18 +64,19 @@ def jaro(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
+    after: dict[str, int] = {}  # the next place of b at which each sign may still be taken
     mine: list[str] = []
+    taken: list[int] = []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                mine.append(ch)
-                break
+        j = b.find(ch, max(after.get(ch, 0), i - reach, 0), i + reach + 1)
+        if j >= 0:
+            after[ch] = j + 1
+            mine.append(ch)
+            taken.append(j)
     if not mine:
         return 0.0
-    theirs = [ch for ch, used in zip(b, taken) if used]
-    swaps = sum(x != y for x, y in zip(mine, theirs)) // 2
+    taken.sort()
+    swaps = sum(x != b[j] for x, j in zip(mine, taken)) // 2
     m = len(mine)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
@@ -103,12 +98,11 @@ def subsequence(wanted: str, text: str) -> float:
     """Greedy match of the characters of `wanted` in `text`, rewarding word starts, runs and density; 0 if incomplete."""
     if not wanted:
         return 0.0
-    at, gained, first, last = 0, 0.0, -1, -1
-    for i, ch in enumerate(text):
-        if at == len(wanted):
-            break
-        if ch != wanted[at] or not ch.isalnum():
-            continue
+    gained, first, last = 0.0, -1, -1
+    for ch in wanted:
+        i = text.find(ch, last + 1)
+        if i < 0:
+            return 0.0
         gained += 1.0
         if i == 0 or not text[i - 1].isalnum():
             gained += 0.3
@@ -117,9 +111,6 @@ def subsequence(wanted: str, text: str) -> float:
         elif i == last + 1:
             gained += 0.35
         last = i
-        at += 1
-    if at < len(wanted):
-        return 0.0
     return gained / len(wanted) * (0.5 + len(wanted) / (last - first + 1))
 
 
@@ -146,10 +137,13 @@ def overlap(query: Wanted, lower: str) -> float:
 
 def component_score(query: Wanted, text: str) -> float:
     lower = text.lower()
-    tight = "".join(ch for ch in lower if ch.isalnum())
+    tight = _GAP.sub("", lower)
     if not query.compact or not tight:
         return 0.0
-    base = max(subsequence(query.compact, lower), 0.95 * edit_similarity(query.compact, tight), 0.9 * jaro_winkler(query.compact, tight))
+    base = max(subsequence(query.compact, lower), 0.9 * jaro_winkler(query.compact, tight))
+    n, m = sorted((len(query.compact), len(tight)))
+    if 0.95 * n / m > base:  # the edit distance is at least the difference of the lengths
+        base = max(base, 0.95 * edit_similarity(query.compact, tight))
     inside = 0.55 if query.lower in lower or query.compact in tight else 0.0
     front = 0.45 if tight.startswith(query.compact) else 0.0
     shared = overlap(query, lower)
