@@ -15,7 +15,7 @@ def best_segments(candidates: DataFrame, queries: DataFrame, segments: DataFrame
     query's tokens (a token that the query repeats counts each time); earlier segments win ties, and no match gives the first."""
     bare = candidates.where("snippet is null").select("query_id", "artifact_id")
     asked = queries.select("query_id", tokenize(F.col("text")).alias("tokens"))
-    rows = segments.select("artifact_id", "ordinal", F.col("text").alias("body")).join(lookup(bare), "artifact_id").join(F.broadcast(asked), "query_id")
+    rows = segments.select("artifact_id", "ordinal", F.col("text").alias("body")).join(lookup(bare), "artifact_id").join(lookup(asked), "query_id")
     low = rows.withColumn("low", F.lower("body"))
     n = F.size(F.filter("tokens", lambda t: F.contains(F.col("low"), t)))
     return low.groupBy("query_id", "artifact_id").agg(F.max_by("body", F.struct(n, -F.col("ordinal"))).alias("best"))
@@ -37,7 +37,7 @@ def project(candidates: DataFrame, queries: DataFrame, artifacts: DataFrame, seg
     if segments is not None:
         hits = hits.join(best_segments(candidates, queries, segments), ["query_id", "artifact_id"], "left")
         text = F.coalesce("snippet", "best")
-    hits = hits.join(F.broadcast(queries.select("query_id", F.col("text").alias("__q"))), "query_id")
+    hits = hits.join(lookup(queries.select("query_id", F.col("text").alias("__q"))), "query_id")
     return hits.select("query_id", "rank", "artifact_id", "kind", shown_path(F.col("p")).alias("path"), "score", confidence(F.col("score")).alias("confidence"), "location", arrow.snippet(text, F.col("__q"), highlight).alias("snippet"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import arrow
 from quillon.operators.retrieve import PLACES, top
-from quillon.session import prepare
+from quillon.session import lookup, prepare
 
 KINDS = ("none", "position-aware", "mock-llm", "llm", "gemma", "jina")
 
@@ -46,7 +46,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, kind: str, limit: int, mod
     if kind in ("none", "mock-llm") or (model is None and kind != "position-aware"):
         return candidates.where(F.col("rank") <= limit) if strict_limit else candidates
     prepare(candidates.sparkSession)
-    asked = candidates.drop("rank").join(F.broadcast(queries.select("query_id", "rerank_text")), "query_id")
+    asked = candidates.drop("rank").join(lookup(queries.select("query_id", "rerank_text")), "query_id")
     if kind == "position-aware":
         moved = asked.withColumn("score", F.round(F.col("score") + arrow.structural_bonus(F.col("rerank_text"), F.col("path"), F.col("location"), F.col("snippet")), PLACES))
         return top(moved, limit).drop("rerank_text")

@@ -5,6 +5,7 @@ Each runs over whole tables. Limits are those of top-k searches alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from quillon.operators import expansion, fusion, project, retrieve
 from quillon.operators import index as ix
 from quillon.plans import engine, plan
 from quillon.plans.oracles import ORACLES
-from quillon.session import lookup, prepare, shared_dir, table, written
+from quillon.session import lookup, prepare, session_dir, table, written
 from quillon.sources import context, files, tsv
 from quillon.streaming import refresh
 
@@ -578,9 +579,7 @@ def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def streaming_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Documents streamed into stored sectors; the stored postings are then summed up."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    base = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     written_docs = f"{base}/source"
     docs(spark, sf).write.parquet(written_docs)
     source = spark.readStream.schema(spark.read.parquet(written_docs).schema).parquet(written_docs)

@@ -27,21 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, or, in local mode alone, a temporary one where it is unset."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if not said:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         said = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", said)
     return said.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Folder of what this application has written; nothing else uses it, so it may go when the application has ended."""
+    return f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what written() has left, once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
     The files outlive any executor, so a later failure re-reads them instead of recomputing.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}/{name}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
