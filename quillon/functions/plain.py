@@ -272,6 +272,7 @@ def lit(text: str, terms: list[str]) -> str:
 
 # ---------------------------------------------------------------------------------------------------------- segments
 
+_LINE_END = re.compile(r"\r\n?")
 PREFIX = {"pdf": "page", "pptx": "slide", "xlsx": "sheet"}
 
 
@@ -283,13 +284,13 @@ class Piece:
 
 
 def _plain(text: str) -> str:
-    return text.replace("\r\n", "\n").replace("\r", "\n").strip()
+    return _LINE_END.sub("\n", text).strip()
 
 
 def blocks(text: str) -> list[str]:
     out: list[str] = []
     held: list[str] = []
-    for line in [*text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), ""]:
+    for line in [*_LINE_END.sub("\n", text).split("\n"), ""]:
         if line.strip():
             held.append(line.rstrip())
         elif held:

@@ -16,9 +16,17 @@ TEXTS = {
     "policy": "A policy layer says for every single change that is asked for whether it will need an audit trail.",
     "audit": "The audit trail keeps the final approved change set for the policy.",
 }
+
+
+def task(root, *steps):
+    """A task of (query, document) turns whose last document is the one to end with."""
+    asked = [dict(query=q, expected_documents=[d]) for q, d in steps]
+    return dict(id=steps[0][0], root_task=root, turns=asked, expected_final_documents=[steps[-1][1]])
+
+
 TASKS = [
-    {"id": "one", "root_task": "beta completes final execution path", "turns": [{"query": "alpha module", "expected_documents": ["alpha"]}, {"query": "beta module", "expected_documents": ["beta"]}], "expected_final_documents": ["beta"]},
-    {"id": "two", "root_task": "audit trail final approved change set", "turns": [{"query": "policy layer", "expected_documents": ["policy"]}, {"query": "audit trail", "expected_documents": ["audit"]}], "expected_final_documents": ["audit"]},
+    task("who completes an answer beta", ("each request of alpha", "alpha"), ("completes beta module", "beta")),
+    task("keeps approved set of audit", ("layer of policy", "policy"), ("audit trail set", "audit")),
 ]
 
 

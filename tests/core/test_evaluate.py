@@ -74,7 +74,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["search", str(tmp_path), "alpha", "--strategy", "bm25"], spark) == 0
     out = capsys.readouterr().out
     assert "one.txt" in out and "score 0.0" in out and "4 indexed" in out
-    assert main(["search", str(tmp_path), "alpha", "--agent", "--strategy", "bm25", "--json"], spark) == 0
+    assert main(["search", str(tmp_path), "alpha", "--json", "--agent", "--strategy", "bm25"], spark) == 0
     assert '"stop_reason": "no-further-queries"' in capsys.readouterr().out
     assert main(["eval", "quality", "--corpus", str(tmp_path), "--queries", str(tmp_path / "q.tsv"), "--qrels", str(tmp_path / "r.tsv"), "--strategy", "bm25"], spark) == 0
     assert '"ndcg": 1.0' in capsys.readouterr().out
