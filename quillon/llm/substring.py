@@ -15,7 +15,7 @@ from quillon.session import prepare, table, written
 
 LENGTH = 50  # words
 GRAM = 10
-SHARD = 1 << 20  # words in one index
+SHARD = 1 << 19  # words in one index
 ASK = 16  # stretches of a window that are asked for as one
 
 
@@ -79,7 +79,7 @@ class FMIndex:
     """Backward search over a text of words, with the smallest and largest document of any range of suffixes."""
 
     def __init__(self, text: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int):
-        """text: symbols below 2**31; low, high: smallest and largest document at each position."""
+        """text: symbols below 2**31; low, high: smallest and largest document at each position, as 32-bit numbers."""
         order = suffix_array(text, depth)
         self.sigma = int(text.max()) + 1
         self.first = np.zeros(self.sigma + 1, np.int64)
@@ -100,7 +100,7 @@ class FMIndex:
     def documents(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest and largest document of each non-empty range."""
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        low, high = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
+        low, high = np.empty(len(lo), np.int32), np.empty(len(lo), np.int32)
         for k in np.unique(level):
             own = level == k
             a, b = lo[own], hi[own] - (1 << k)
@@ -263,7 +263,9 @@ def shard_matches(parts: list[pa.RecordBatch], length: int, later: bool) -> pa.R
     smallest and largest of their documents."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     buf, offs = flat(rows["body"])
-    code, doc = rows["h"].to_numpy(), rows["doc_id"].to_numpy()
+    code = rows["h"].to_numpy()
+    ids, doc = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+    doc = doc.astype(np.int32)  # in the order of the ids; the tables of the index are of these
     words = find_words(buf, offs)
     hashes = word_hashes(buf, words)
     at = (np.arange(len(hashes)) - np.repeat(words.of[:-1], words.count)).astype(np.uint64)
@@ -301,7 +303,7 @@ def shard_matches(parts: list[pa.RecordBatch], length: int, later: bool) -> pa.R
     base = rows["char"].to_numpy()[which] - chars[offs[which]]
     lo, hi = words.start[words.of[which] + a], words.end[words.of[which] + b - 1]
     first = rows["word"].to_numpy()[which]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[which], first + a, first + b, base + chars[lo], base + chars[hi])], names=["doc_id", "start_word", "end_word", "start_char", "end_char"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[doc[which]], first + a, first + b, base + chars[lo], base + chars[hi])], names=["doc_id", "start_word", "end_word", "start_char", "end_char"])
 
 
 def shards(length: int, later: bool):
