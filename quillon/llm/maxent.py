@@ -7,15 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import U, find_words, folded_hashes, mix, pieces
-from quillon.session import prepare, table
+from quillon.session import prepare, table, written
 
 CLASSES = MEMBERS = 32
 OWN = 768  # the most frequent hashed words have an id each; the others share the rest
-BITS = 14  # rows of a weight table
+BITS = 14  # a weight table has at least 2**BITS rows
+LOAD = 64  # distinct contexts of the corpus to a row of a weight table
+SKETCH = 1024  # least hashes that the number of distinct contexts is told from
+SPREAD = 2  # training tasks to a core: each sends a whole table, so their number must not grow with the corpus
 BATCH = 8192
 RATE = 0.25
 ROUNDS = 1
@@ -27,14 +32,41 @@ _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], n
 @dataclass
 class Model:
     """ids[top 16 bits of a word's hash]: class * MEMBERS + member. weights[0]: rows of class logits, the first for the
-    bias; weights[1]: rows of member logits, one first for each class's bias. The others are hashed features."""
+    bias; weights[1]: rows of member logits, one first for each class's bias. The others are hashed features. Where
+    weights is empty, the files of a written table have the blocks of `size` rows a table, for tasks to read."""
 
     ids: np.ndarray
     weights: list[np.ndarray]
+    size: int = 1 << BITS
+    files: tuple[str, ...] = ()
 
+    def loaded(self) -> Model:
+        """The model with its weights in memory; a worker keeps those it read last."""
+        if self.weights or not self.files:
+            return self if self.weights else fresh(self.ids, self.size)
+        if self.files not in _read:
+            _read.clear()
+            weights = fresh(self.ids, self.size).weights
+            for file in self.files:
+                system, path = fs.FileSystem.from_uri(file)
+                blocks = pq.read_table(path, filesystem=system)
+                for block, body in zip(blocks["block"].to_pylist(), blocks["total"]):
+                    k, b = divmod(block, self.size // BLOCK)
+                    weights[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(body.as_buffer(), np.float32).reshape(BLOCK, -1)
+            _read[self.files] = weights
+        return Model(self.ids, _read[self.files], self.size, self.files)
 
-def fresh(ids: np.ndarray) -> Model:
-    return Model(ids, [np.zeros((1 << BITS, CLASSES), np.float32), np.zeros((1 << BITS, MEMBERS), np.float32)])
+
+_read: dict[tuple[str, ...], list[np.ndarray]] = {}
+
+
+def fresh(ids: np.ndarray, size: int = 1 << BITS) -> Model:
+    return Model(ids, [np.zeros((size, CLASSES), np.float32), np.zeros((size, MEMBERS), np.float32)], size)
+
+
+def table_size(contexts: float) -> int:
+    """Rows of a weight table (whole blocks) for so many distinct contexts."""
+    return max(1 << BITS, -(-int(contexts / LOAD) // BLOCK) * BLOCK)
 
 
 def vocabulary(counts: np.ndarray) -> np.ndarray:
@@ -59,11 +91,12 @@ def features(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def rows_of(hashes: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+def rows_of(hashes: np.ndarray, kind: np.ndarray | None = None, size: int = 1 << BITS) -> np.ndarray:
     """Weight rows of features, of class tables or, given each word's class, of member tables."""
+    small = np.uint16 if size <= 1 << 16 else np.uint32
     if kind is None:
-        return (1 + (hashes >> U(20)) % U((1 << BITS) - 1)).astype(np.uint16)
-    return (CLASSES + (mix(hashes + (kind.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U((1 << BITS) - CLASSES)).astype(np.uint16)
+        return (1 + (hashes >> U(20)) % U(size - 1)).astype(small)
+    return (CLASSES + (mix(hashes + (kind.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size - CLASSES)).astype(small)
 
 
 def softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -78,9 +111,9 @@ def softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return p
 
 
-def active(found: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def active(found: np.ndarray, kind: np.ndarray, size: int = 1 << BITS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Active rows of the class table and, given each word's class, of the member table; biases first."""
-    return [np.zeros(len(kind), np.uint16), *(rows_of(f) for f in found)], [kind.astype(np.uint16), *(rows_of(f, kind) for f in found)]
+    return [np.zeros(len(kind), np.uint16), *(rows_of(f, size=size) for f in found)], [kind.astype(np.uint16), *(rows_of(f, kind, size) for f in found)]
 
 
 def chosen(p: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -95,7 +128,7 @@ def log_probs(model: Model, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
     kind, member = ids // MEMBERS, ids % MEMBERS
     for i in range(0, len(codes), BATCH):
         s = slice(i, i + BATCH)
-        first, second = active(found[:, s], kind[s])
+        first, second = active(found[:, s], kind[s], model.size)
         c, m = softmax(model.weights[0], first), softmax(model.weights[1], second)
         out[s] = np.log(np.maximum(chosen(c, kind[s]), 1e-30)) + np.log(np.maximum(chosen(m, member[s]), 1e-30))
     return out
@@ -108,19 +141,20 @@ class Trainer:
         self.start = model
         self.weights = [w.copy() for w in model.weights]
         self.squares = [np.full(len(w), 1e-6, np.float32) for w in model.weights]
-        self.seen = 0
+        self.seen = [np.zeros(len(w), np.float32) for w in model.weights]  # words that touched each row
 
     def step(self, k: int, rows: list[np.ndarray], target: np.ndarray) -> None:
         weights, squares = self.weights[k], self.squares[k]
         p = softmax(weights, rows)
         p[np.arange(len(target)), target] -= 1.0  # gradient of the negative log-likelihood by the logits
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r, kind="stable" if r.dtype == np.uint16 else None)
             there = r[order]
             last = np.flatnonzero(np.concatenate([there[1:] != there[:-1], [True]]))
             gradient = np.take(np.cumsum(np.take(p, order, axis=0, mode="clip"), axis=0), last, axis=0, mode="clip")
             gradient[1:] -= gradient[:-1].copy()
             own = there[last]
+            self.seen[k][own] += np.diff(last, prepend=-1)
             size = squares[own] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
             squares[own] = size
             gradient *= (-RATE / np.sqrt(size))[:, None]
@@ -133,20 +167,20 @@ class Trainer:
         kind, member = ids // MEMBERS, ids % MEMBERS
         for i in range(0, len(codes), BATCH):
             s = slice(i, i + BATCH)
-            first, second = active(found[:, s], kind[s])
+            first, second = active(found[:, s], kind[s], self.start.size)
             self.step(0, first, kind[s])
             self.step(1, second, member[s])
-        self.seen += len(codes)
 
-    def deltas(self) -> pa.RecordBatch:
-        """What the steps have changed, times the words seen, in blocks of BLOCK rows."""
-        blocks, bodies = [], []
-        for k, (new, old) in enumerate(zip(self.weights, self.start.weights)):
-            delta = (new - old).astype(np.float16).reshape(-1, BLOCK * new.shape[1])
-            some = np.flatnonzero((delta != 0).any(1))
-            blocks += (k * len(delta) + some).tolist()
-            bodies += [x.tobytes() for x in delta[some]]
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([self.seen] * len(blocks), pa.int64()), pa.array(bodies, pa.binary())], names=["block", "n", "delta"])
+    def deltas(self) -> Iterator[pa.RecordBatch]:
+        """What the steps have changed and how many words touched each row, in blocks of BLOCK rows."""
+        for k, (new, old, seen) in enumerate(zip(self.weights, self.start.weights, self.seen)):
+            count = seen.reshape(-1, BLOCK)
+            some = np.flatnonzero(count.any(1))
+            for part in np.array_split(some, -(-len(some) // 256) or 1):
+                rows = [slice(b * BLOCK, (b + 1) * BLOCK) for b in part.tolist()]
+                bodies = [(new[r] - old[r]).astype(np.float16).tobytes() for r in rows]
+                columns = [pa.array(k * len(count) + part, pa.int32()), pa.array([count[b].tobytes() for b in part.tolist()], pa.binary()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "delta"])
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,62 +188,83 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return folded_hashes(buf, words), words.of
 
 
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The SKETCH least distinct ones."""
+    return np.unique(hashes)[:SKETCH]
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, code, n): the counts of hashed words, and the least hashes of contexts."""
     total = np.zeros(1 << 16, np.int64)
+    low = np.zeros(0, np.uint64)
     for _, buf, offs in pieces(batches):
-        codes, _ = words_of(buf, offs)
+        codes, of = words_of(buf, offs)
         total += np.bincount((codes >> U(48)).astype(np.int64), minlength=1 << 16)
+        found = features(codes, of).ravel() >> U(1)
+        low = least(np.append(low, found[found <= low[-1]] if len(low) == SKETCH else found))
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["w", "n"])
+    code, n = np.append(some, low.astype(np.int64)), np.append(total[some], np.zeros(len(low), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(code)) >= len(some)), pa.array(code), pa.array(n)], names=["context", "code", "n"])
+
+
+def contexts(low: np.ndarray) -> float:
+    """Number of distinct contexts of which these are the least SKETCH hashes (of 63 bits)."""
+    return len(low) if len(low) < SKETCH else (SKETCH - 1) / (float(low.max()) / 2.0**63)
 
 
 def add_up(rows: pa.Table) -> pa.Table:
-    n = rows["n"].to_numpy().astype(np.float64)
-    total = None
-    for body, k in zip(rows["delta"], n):
-        part = np.frombuffer(body.as_py(), np.float16).astype(np.float64) * k
-        total = part if total is None else total + part
-    return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "total": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    """Changes of each row of a block, averaged over the words that touched it."""
+    total = n = None
+    for body, seen in zip(rows["delta"], rows["n"]):
+        count = np.frombuffer(seen.as_buffer(), np.float32).astype(np.float64)
+        part = np.frombuffer(body.as_buffer(), np.float16).astype(np.float64).reshape(BLOCK, -1) * count[:, None]
+        total, n = (part, count) if total is None else (total + part, n + count)
+    return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "total": pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model | None:
     """Model of all texts of df; None where they have no words.
 
-    Word counts are summed over all documents. In each round every task makes gradient steps over its whole part of
-    the corpus, and the changes, weighted by words seen, are averaged by block of weight rows. What is moved grows
-    with the tasks, and so with the corpus; the model itself has a fixed size.
+    Word counts are summed over all documents, and the weight tables get a row for LOAD distinct contexts of the
+    corpus. In each round every task makes gradient steps over its whole part of the corpus, and the changes of each
+    row are averaged over the words that touched it. The tables are written to the shared folder, where tasks read them.
     """
     spark = prepare(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text")).where("text is not null")
+    counted = written(texts.mapInArrow(count_words, "context boolean, code bigint, n bigint").groupBy("context", "code").agg(F.sum("n").alias("n")), "counted")
     counts = np.zeros(1 << 16, np.int64)
-    for r in texts.mapInArrow(count_words, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect():
-        counts[r.w] = r.n
-    total = int(counts.sum())
-    if not total:
+    for r in counted.where("not context").collect():
+        counts[r.code] = r.n
+    if not counts.any():
         return None
-    model = fresh(vocabulary(counts))
+    low = [r.code for r in counted.where("context").orderBy("code").limit(SKETCH).collect()]
+    model = Model(vocabulary(counts), [], table_size(contexts(np.array(low))))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value)
+            trainer = Trainer(shared.value.loaded())
             for _, buf, offs in pieces(batches):
                 codes, of = words_of(buf, offs)
                 if len(codes):
                     trainer.learn(codes, of)
-            yield trainer.deltas()
-
-        merged = texts.mapInArrow(run, "block int, n bigint, delta binary").groupBy("block").applyInArrow(add_up, "block int, total binary")
-        weights = [w.copy() for w in model.weights]
-        per = len(weights[0]) // BLOCK
-        for r in merged.collect():
-            k, b = divmod(r.block, per)
-            weights[k][b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(r.total, np.float32).reshape(BLOCK, -1) / total
-        model = Model(model.ids, weights)
+            yield from trainer.deltas()
+
+        parts = texts.coalesce(SPREAD * spark.sparkContext.defaultParallelism).mapInArrow(run, "block int, n binary, delta binary")
+        merged = parts.groupBy("block").applyInArrow(add_up, "block int, total binary")
+        if model.files:
+            old = spark.read.schema(merged.schema).parquet(*model.files)
+            merged = old.unionByName(merged).groupBy("block").applyInArrow(plus, "block int, total binary")
+        model = Model(model.ids, [], model.size, tuple(sorted(written(merged, "weights").inputFiles())))
         shared.unpersist()
     return model
 
 
+def plus(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(body.as_buffer(), np.float32) for body in rows["total"])
+    return pa.table({"block": rows["block"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+
+
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_prob, bits_per_word) of every row of df, repeated rows and null ids included.
 
@@ -221,7 +276,7 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     shared = prepare(df.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value and shared.value.loaded()
         for batch, buf, offs in pieces(batches):
             codes, of = words_of(buf, offs)
             n = np.diff(of)

@@ -109,3 +109,24 @@ def test_awkward_rows(spark):
     assert got[(6, 2)].log_prob < 0 and (5, 100_000) in got and len(got) == 6
     assert M.train(df.limit(0)) is None and M.train(df.where("doc_id < 3")) is None
     assert M.score(df.limit(0), model).count() == 0 and M.score(df, None).where("log_prob is not null").count() == 0
+
+
+def test_tables_grow_with_contexts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.where("text is not null").collect()]
+    exact = len(np.unique(M.features(*M.words_of(*flat(pa.array(texts)))) >> np.uint64(1)))
+    monkeypatch.setattr(M, "LOAD", 1)
+    one, three = M.train(docs.where("doc_id % 3 = 0")), M.train(docs)
+    assert 0.9 * exact < three.size < 1.1 * exact and one.size < 0.6 * three.size
+    weights = three.loaded().weights
+    assert all(len(w) == three.size for w in weights) and (weights[0] != 0).any(1).mean() > 0.5
+    assert M.score(docs, three).where("n_words > 0 and log_prob >= 0").count() == 0
+
+
+def test_rows_are_averaged_over_the_words_that_touched_them():
+    count = np.zeros((2, M.BLOCK), np.float32)
+    count[:, 0], count[1, 1] = (1, 3), 5
+    deltas = [np.full((M.BLOCK, M.CLASSES), x, np.float16) for x in (4, 8)]
+    rows = pa.table({"block": [0, 0], "n": [c.tobytes() for c in count], "delta": [d.tobytes() for d in deltas]})
+    got = np.frombuffer(M.add_up(rows)["total"][0].as_py(), np.float32).reshape(M.BLOCK, -1)
+    assert (got[0] == 7).all() and (got[1] == 8).all() and (got[2:] == 0).all()
