@@ -20,8 +20,11 @@ OWN = 768  # the most frequent hashed words have an id each; the others share th
 BITS = 14  # a weight table has at least 2**BITS rows
 LOAD = 64  # distinct contexts of the corpus to a row of a weight table
 SKETCH = 1024  # least hashes that the number of distinct contexts is told from
+HELD = 1 << 20  # distinct words that a counting task holds
+COMMON = 4_000_000  # words whose counts are broadcast
 SPREAD = 2  # training tasks to a core: each sends a whole table, so their number must not grow with the corpus
 BATCH = 8192
+PART = 1 << 20  # bytes of text at a time, as tasks hold tables beside it
 RATE = 0.25
 ROUNDS = 1
 BLOCK = 256
@@ -150,11 +153,10 @@ class Trainer:
         for r in rows:
             order = np.argsort(r, kind="stable" if r.dtype == np.uint16 else None)
             there = r[order]
-            last = np.flatnonzero(np.concatenate([there[1:] != there[:-1], [True]]))
-            gradient = np.take(np.cumsum(np.take(p, order, axis=0, mode="clip"), axis=0), last, axis=0, mode="clip")
-            gradient[1:] -= gradient[:-1].copy()
-            own = there[last]
-            self.seen[k][own] += np.diff(last, prepend=-1)
+            first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+            gradient = np.add.reduceat(np.take(p, order, axis=0, mode="clip"), first, axis=0)
+            own = there[first]
+            self.seen[k][own] += np.diff(first, append=len(there))
             size = squares[own] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
             squares[own] = size
             gradient *= (-RATE / np.sqrt(size))[:, None]
@@ -194,17 +196,44 @@ def least(hashes: np.ndarray) -> np.ndarray:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, code, n): the counts of hashed words, and the least hashes of contexts."""
-    total = np.zeros(1 << 16, np.int64)
+    """(context, code, n): the counts of words by their 64-bit hashes, and the least hashes of contexts."""
+
+    def said(context: bool, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), context)), pa.array(code.view(np.int64)), pa.array(n)], names=["context", "code", "n"])
+
     low = np.zeros(0, np.uint64)
-    for _, buf, offs in pieces(batches):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, buf, offs in pieces(batches, limit=PART):
         codes, of = words_of(buf, offs)
-        total += np.bincount((codes >> U(48)).astype(np.int64), minlength=1 << 16)
         found = features(codes, of).ravel() >> U(1)
         low = least(np.append(low, found[found <= low[-1]] if len(low) == SKETCH else found))
-    some = np.flatnonzero(total)
-    code, n = np.append(some, low.astype(np.int64)), np.append(total[some], np.zeros(len(low), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(code)) >= len(some)), pa.array(code), pa.array(n)], names=["context", "code", "n"])
+        held.append(np.unique(codes, return_counts=True))
+        if sum(len(c) for c, _ in held) > HELD:
+            yield said(False, *tally(held))
+            held = []
+    if held:
+        yield said(False, *tally(held))
+    yield said(True, low, np.zeros(len(low), np.int64))
+
+
+def tally(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, which = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(which, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+
+
+def count(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Written (context, code, n) of all texts of df: each distinct word's hash with its count, and hashes of contexts."""
+    prepare(df.sparkSession)
+    texts = df.select(F.col(text_col).alias("text")).where("text is not null")
+    return written(texts.mapInArrow(count_words, "context boolean, code bigint, n bigint").groupBy("context", "code").agg(F.sum("n").alias("n")), "counted")
+
+
+def hash_counts(counted: DataFrame) -> np.ndarray:
+    """Words by the top 16 bits of their hash."""
+    counts = np.zeros(1 << 16, np.int64)
+    for r in counted.where("not context").groupBy(F.shiftrightunsigned("code", 48).alias("w")).agg(F.sum("n").alias("n")).collect():
+        counts[r.w] = r.n
+    return counts
 
 
 def contexts(low: np.ndarray) -> float:
@@ -222,8 +251,8 @@ def add_up(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "total": pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model | None:
-    """Model of all texts of df; None where they have no words.
+def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None) -> Model | None:
+    """Model of all texts of df, of which counted is count(); None where they have no words.
 
     Word counts are summed over all documents, and the weight tables get a row for LOAD distinct contexts of the
     corpus. In each round every task makes gradient steps over its whole part of the corpus, and the changes of each
@@ -231,10 +260,8 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model
     """
     spark = prepare(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text")).where("text is not null")
-    counted = written(texts.mapInArrow(count_words, "context boolean, code bigint, n bigint").groupBy("context", "code").agg(F.sum("n").alias("n")), "counted")
-    counts = np.zeros(1 << 16, np.int64)
-    for r in counted.where("not context").collect():
-        counts[r.code] = r.n
+    counted = count(df, text_col) if counted is None else counted
+    counts = hash_counts(counted)
     if not counts.any():
         return None
     low = [r.code for r in counted.where("context").orderBy("code").limit(SKETCH).collect()]
@@ -244,7 +271,7 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value.loaded())
-            for _, buf, offs in pieces(batches):
+            for _, buf, offs in pieces(batches, limit=PART):
                 codes, of = words_of(buf, offs)
                 if len(codes):
                     trainer.learn(codes, of)
@@ -265,35 +292,91 @@ def plus(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows["block"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
 
-def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Shares:
+    """Counts of words of one id: of each id in all, and logarithms of those of the words counted `least` times or more."""
+
+    totals: np.ndarray
+    least: int
+    codes: np.ndarray
+    logs: np.ndarray
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of each word's count (0 where it is not here), and which words are here."""
+        if not len(self.codes):
+            return np.zeros(len(codes)), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        here = self.codes[at] == codes
+        return np.where(here, self.logs[at], 0.0), here
+
+
+def shares(model: Model, counted: DataFrame, common: int = COMMON) -> Shares:
+    """The at most `common` most frequent words, those that occur twice or more if they are not more than that."""
+    totals = np.bincount(model.ids, hash_counts(counted), CLASSES * MEMBERS)
+    words = counted.where("not context")
+    power = F.length(F.bin("n")) - 1  # n >= 2 ** power
+    by = sorted(((r.power, r.n) for r in words.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    bound, so_far = max(p for p, _ in by) + 1, 0
+    for p, n in by:
+        so_far += n
+        if p < 1 or so_far > common:
+            break
+        bound = p
+    known = words.where(F.col("n") >= 1 << bound).select("code", "n").toArrow()
+    codes, n = known["code"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    order = np.argsort(codes)
+    return Shares(totals, 1 << bound, codes[order], np.log(n[order]).astype(np.float32))
+
+
+def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", counted: DataFrame | None = None, common: int = COMMON) -> DataFrame:
     """(doc_id, n_words, log_prob, bits_per_word) of every row of df, repeated rows and null ids included.
 
     log_prob is the natural logarithm of the probability of the text's words (in lower case without ASCII
-    punctuation; a word of punctuation only is one sign) up to the sharing of ids by rare ones. A null text has
+    punctuation; a word of punctuation only is one sign): of their ids and, given counted (the count() of the
+    corpus), of each word among those of its id by its share of their occurrences. Words that the corpus does not
+    have count as one occurrence. Without counted it is up to the sharing of ids. A null text has
     nulls; one without words has 0 words, log_prob 0 and no bits_per_word. Without a model log_prob is null. An empty
     table gives no rows. Other columns are not read.
+
+    The `common` most frequent words are broadcast. If others occur twice or more, their counts are joined by a shuffle.
     """
-    shared = prepare(df.sparkSession).sparkContext.broadcast(model)
+    spark = prepare(df.sparkSession)
+    charged = None if model is None or counted is None else shares(model, counted, common)
+    shared = spark.sparkContext.broadcast((model, charged))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value and shared.value.loaded()
-        for batch, buf, offs in pieces(batches):
+        own, charge = shared.value
+        own = own and own.loaded()
+        for batch, buf, offs in pieces(batches, limit=PART):
             codes, of = words_of(buf, offs)
             n = np.diff(of)
             void = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             total = np.zeros(batch.num_rows)
+            rest, ends = codes[:0], np.zeros(len(of), np.int64)
             if own is not None and len(codes):
                 each = log_probs(own, codes, of)
+                if charge is not None:
+                    logs, here = charge.of(codes)
+                    each += logs - np.log(charge.totals + 1.0)[own.ids[(codes >> U(48)).astype(np.int64)]]
+                    if charge.least > 2:
+                        rest, ends = codes[~here], np.append(0, np.cumsum(~here))[of]
                 total[n > 0] = np.add.reduceat(each, of[:-1][n > 0])
             blind = void | (own is None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, mask=void), pa.array(total, mask=blind), pa.array(-total / np.log(2) / np.maximum(n, 1), mask=blind | (n == 0))], names=["doc_id", "n_words", "log_prob", "bits_per_word"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, mask=void), pa.array(total, mask=blind), lists], names=["doc_id", "n_words", "log_prob", "rest"])
 
     base = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, bits_per_word double")
+    out = base.mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, rest array<bigint>")
+    if charged is not None and charged.least > 2:
+        out = written(out.withColumn("key", F.monotonically_increasing_id()), "scored")
+        rarer = counted.where(~F.col("context") & (F.col("n") < charged.least) & (F.col("n") > 1)).select("code", "n")
+        more = out.select("key", F.explode("rest").alias("code")).join(rarer, "code").groupBy("key").agg(F.sum(F.ln("n")).alias("more"))
+        out = out.join(more, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    bits = F.when(F.col("n_words") > 0, -F.col("log_prob") / F.lit(float(np.log(2))) / F.col("n_words"))
+    return out.select("doc_id", "n_words", "log_prob", bits.alias("bits_per_word"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    counted = count(docs)
+    return score(docs, train(docs, counted=counted), counted=counted)

@@ -130,3 +130,27 @@ def test_rows_are_averaged_over_the_words_that_touched_them():
     rows = pa.table({"block": [0, 0], "n": [c.tobytes() for c in count], "delta": [d.tobytes() for d in deltas]})
     got = np.frombuffer(M.add_up(rows)["total"][0].as_py(), np.float32).reshape(M.BLOCK, -1)
     assert (got[0] == 7).all() and (got[1] == 8).all() and (got[2:] == 0).all()
+
+
+def test_words_of_one_id_are_told_apart(spark):
+    texts = ["the cat sat on the mat", "the dog sat on a mat", "the cat", None, "", "zebra zebra zebra quagga"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "the cat"), (1, "the okapi")], "doc_id bigint, text string")
+    counted = M.count(df)
+    model = M.train(df, counted=counted)
+    model.ids[:] = 7  # all words share an id
+    counts = {}
+    for t in [*texts, "the cat", "the okapi"]:
+        for w in (t or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    assert counted.where("not context").count() == len(counts)
+    n = sum(counts.values()) + 1
+    asked = df.union(spark.createDataFrame([(50, "the unheard")], "doc_id bigint, text string"))
+    plain = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in M.score(asked, model).collect() if r.n_words)
+    for common in (M.COMMON, 2, 0):  # with and without words that are not broadcast
+        rows = M.score(asked, model, counted=counted, common=common).collect()
+        assert len(rows) == 9
+        got = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in rows if r.n_words)
+        want = {(i or -1, len(t.split())): sum(math.log(counts.get(w, 1) / n) for w in t.split()) for i, t in [(r.doc_id, r.text) for r in asked.collect()] if t}
+        for (i, k, a), (j, m, b) in zip(plain, got):
+            assert (i, k) == (j, m) and abs(b - a - want[(i, k)]) < 1e-4
+        assert all(abs(r.bits_per_word + r.log_prob / r.n_words / math.log(2)) < 1e-9 for r in rows if r.n_words)
