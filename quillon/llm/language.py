@@ -20,9 +20,10 @@ ROUNDS = 4
 LONGEST = 40  # bytes; a longer word counts as several words
 SCALE = 10.0  # per byte, so that sums neither vanish nor overflow
 MARK = 1  # stands for the sign that begins a word
-#: A document is rejected where the best language's log-probability per byte is below the lowest that fitting has
-#: seen, less this many standard deviations of what it has seen.
-SPREAD = 4.0
+#: A document is rejected where the best language's log-probability per byte is below that language's median in fitting by
+#: more than SPREAD median absolute deviations (scaled to a standard deviation), which a minority of mislabelled documents hardly moves.
+SPREAD = 40.0
+LEAST_DEVIATION = 0.015
 
 _LETTER = np.ones(256, bool)
 for _b in range(128):
@@ -228,7 +229,15 @@ class Model:
     languages: list[str]
     pieces: Pieces
     prob: np.ndarray  # [pieces, languages], scaled
-    floor: float
+    floor: np.ndarray  # of each language
+
+
+def floor_of(seen: np.ndarray) -> float | None:
+    """Lowest log-probability per byte to accept, given those of the documents of a language."""
+    if not len(seen):
+        return None
+    middle = np.median(seen)
+    return float(middle - SPREAD * max(1.4826 * np.median(np.abs(seen - middle)), LEAST_DEVIATION))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY) -> Model | None:
@@ -245,15 +254,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def learn(rows: pa.Table) -> pa.Table:
         order = rows["doc_id"].to_numpy().argsort(kind="stable")
         prob, seen = fit(rows["text"].take(pa.array(order)).combine_chunks(), shared.value)
-        floor = seen.min() - SPREAD * seen.std() if len(seen) else None
-        return pa.table({"lang": rows["lang"].slice(0, 1), "prob": pa.array([prob], pa.list_(pa.float64())), "floor": pa.array([floor], pa.float64())})
+        return pa.table({"lang": rows["lang"].slice(0, 1), "prob": pa.array([prob], pa.list_(pa.float64())), "floor": pa.array([floor_of(seen)], pa.float64())})
 
     fitted = sorted(sample.groupBy("lang").applyInArrow(learn, "lang string, prob array<double>, floor double").collect(), key=lambda r: r.lang)
     if not fitted:
         return None
     prob = scaled(np.array([r.prob for r in fitted]).T, piece_sizes(loaded))
     floors = [r.floor for r in fitted if r.floor is not None]
-    return Model([r.lang for r in fitted], loaded, prob, min(floors) if floors else -np.inf)
+    other = min(floors) if floors else -np.inf  # for a language of short documents alone
+    return Model([r.lang for r in fitted], loaded, prob, np.array([other if r.floor is None else r.floor for r in fitted]))
 
 
 def score(buf: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +284,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     log_prob is the best language's, per byte of folded letters; margin is its lead over the second, in all.
     A row is not accepted, and has no language, where its text is null or has no letters, or where log_prob is
-    below the model's floor. Ties go to the language first by name. With one language the margin is null; with
+    below that language's floor. Ties go to the language first by name. With one language the margin is null; with
     no model nothing is accepted. An empty table gives no rows. No other column is read.
     """
     spark = prepare(df.sparkSession)
@@ -294,7 +303,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                 top = total[np.arange(n), best]
                 per = top / np.maximum(nbytes, 1)
                 some = nbytes > 0
-                ok = some & (per >= own.floor)
+                ok = some & (per >= own.floor[best])
                 lead = np.sort(total, axis=1)[:, -2] if total.shape[1] > 1 else top
                 columns = [
                     pa.array(np.array(own.languages, object)[best], pa.string(), mask=~ok),
@@ -319,7 +328,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return
         for batch, buf, offs in pieces(batches, text_col):
             total, nbytes = score(buf, offs, own)
-            ok = (nbytes > 0) & (total.max(1) / np.maximum(nbytes, 1) >= own.floor)
+            ok = (nbytes > 0) & (total.max(1) / np.maximum(nbytes, 1) >= own.floor[total.argmax(1)])
             yield batch.filter(pa.array(ok))
 
     return df.mapInArrow(run, df.schema)

@@ -82,3 +82,23 @@ def test_awkward_rows(spark, sf):
     assert L.train(df.limit(0)) is None
     kept = L.keep_identified(docs.limit(100))
     assert kept.columns == docs.columns and kept.count() >= 98
+
+
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "
+POLISH = "Warszawa jest stolicą Polski i największym miastem kraju, położonym nad Wisłą w środkowej części. Każdy człowiek ma prawo do życia. "
+
+
+def test_mislabelled_documents_do_not_open_the_floor(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    mixed = docs.where("lang = 'en'").orderBy("doc_id").first().text
+    wrong = spark.createDataFrame([(-1, "fr", POLISH), (-2, "fr", mixed)], docs.schema)
+    model = L.train(docs.unionByName(wrong), docs=10_000)
+    asked = spark.createDataFrame([(1, FINNISH * 2)], "doc_id bigint, text string")
+    assert not any(r.accepted for r in L.identify(asked, model).collect())
+    assert L.identify(docs, model).where("accepted").count() >= 0.99 * docs.count()
+
+
+def test_each_language_has_a_floor_of_its_own():
+    near, far = np.linspace(-1.6, -1.4, 100), np.linspace(-2.6, -2.4, 100)
+    assert L.floor_of(near) > L.floor_of(far) and L.floor_of(np.zeros(0)) is None
+    assert abs(L.floor_of(np.append(near, [-5, -6])) - L.floor_of(near)) < 0.1
