@@ -13,11 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+SPAN = 1 << 15
+MOST = 64 << 20  # bytes that may be broadcast
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,23 +31,44 @@ for _b in range(128):
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+
+def _power_table(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, dtype=np.uint64)
+    have, step = 1, base
+    while have < size:
+        out[have : 2 * have] = out[:have] * U(step)
+        step = step * step & 0xFFFFFFFFFFFFFFFF
+        have *= 2
+    return out
+
+
+_UP, _DOWN = _power_table(_P, 2 * SPAN), _power_table(pow(_P, -1, 1 << 64), SPAN)
+_JUMP = pow(_P, SPAN, 1 << 64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        for key, base in (("p", _P), ("q", _PINV)):
-            out = np.ones(size, dtype=np.uint64)
-            have = 1
-            step = U(base)
-            while have < size:
-                out[have : 2 * have] = out[:have] * step
-                step = U((int(step) * int(step)) & 0xFFFFFFFFFFFFFFFF)
-                have *= 2
-            _powers[key] = out
-    return _powers["p"], _powers["q"]
+def run_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run data[lo : hi] (rising, disjoint), independent of where it stands and of its neighbours.
+
+    Prefix sums of SPAN bytes at a time, so that no table grows with a text.
+    """
+    out = np.zeros(len(lo), np.uint64)
+    long = hi - lo > SPAN
+    edges = np.searchsorted(lo, np.arange(0, len(data) + SPAN, SPAN))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if a == b:
+            continue
+        x, y = lo[a:b] - k * SPAN, np.where(long[a:b], lo[a:b], hi[a:b]) - k * SPAN
+        value = _VALUE[data[k * SPAN : k * SPAN + int(y[-1])]]
+        run = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * _UP[: len(value)], out=run[1:])
+        out[a:b] = (run[y] - run[x]) * _DOWN[x]
+    for i in np.flatnonzero(long).tolist():
+        total = 0
+        for k, at in enumerate(range(int(lo[i]), int(hi[i]), SPAN)):
+            part = data[at : min(at + SPAN, int(hi[i]))]
+            total += int((_VALUE[part] * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_JUMP, k, 1 << 64)
+        out[i] = U(total & 0xFFFFFFFFFFFFFFFF)
+    return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,12 +142,7 @@ def find_words(buf: np.ndarray, offs: np.ndarray) -> Words:
 
 def word_hashes(buf: np.ndarray, words: Words) -> np.ndarray:
     """64-bit hash of each word's bytes, independent of where the word stands."""
-    if not len(words.start):
-        return np.zeros(0, np.uint64)
-    p, q = powers(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_VALUE[buf] * p[: len(buf)], out=run[1:])
-    return mix((run[words.end] - run[words.start]) * q[words.start])
+    return run_hashes(buf, words.start, words.end)
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -144,14 +162,7 @@ def folded_hashes(buf: np.ndarray, words: Words) -> np.ndarray:
     keep = _KEEP[low]
     at = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(keep, out=at[1:])
-    kept = low[keep]
-    p, q = powers(len(kept) + 1)
-    run = np.zeros(len(kept) + 1, np.uint64)
-    np.cumsum(_VALUE[kept] * p[: len(kept)], out=run[1:])
-    lo, hi = at[words.start], at[words.end]
-    out = mix((run[hi] - run[lo]) * q[lo])
-    out[lo == hi] = 0
-    return out
+    return run_hashes(low[keep], at[words.start], at[words.end])
 
 
 def clean(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,11 +170,39 @@ def clean(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
 
-def small(df: DataFrame, rows: int = 4_000_000) -> bool:
-    """Whether df (a written table) has few enough rows for a broadcast."""
-    return df.count() <= rows
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, most: int = MOST) -> bool:
+    """Whether all of df (a written table) takes at most about `most` bytes in memory. Rows and the bytes of their
+    strings and arrays are summed up, so the bound holds whatever the rows hold."""
+    wide = F.lit(0)
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide = wide + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            inner = f.dataType.elementType
+            wide = wide + F.greatest(F.size(f.name), F.lit(0)) * (8 * (len(inner) + 1) if isinstance(inner, T.StructType) else 8)
+    rows, body = df.agg(F.count("*"), F.sum(wide)).first()
+    return rows * (24 + 8 * len(df.columns)) + (body or 0) <= most
 
 
 def matching(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Join that broadcasts keys (a written table of narrow rows) while it is small, and shuffles beyond that."""
+    """Join that broadcasts keys (a written table) while it is small, and shuffles beyond that."""
     return df.join(F.broadcast(keys) if small(keys) else keys, on, how)
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id_col is in ids (a written table of one column); rows with a null id stay."""
+    (name,) = unused(df, "gone")
+    ids = ids.toDF(name)
+    return df.join(F.broadcast(ids) if small(ids) else ids, F.col(id_col) == F.col(name), "left_anti")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean, matching
+from quillon.llm.common import clean, matching, without
 from quillon.session import prepare, table, written
 
 FLUSH = 32 << 20
@@ -126,11 +126,13 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the documents of exact_duplicates(); rows without id or text stay."""
-    gone = written(exact_duplicates(df, id_col, text_col).select(F.col("doc_id").alias("__gone")), "gone")
-    from quillon.llm.common import small
+    """df without the documents of exact_duplicates().
 
-    return df.join(F.broadcast(gone) if small(gone) else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    Rows without id or text stay; empty texts are equal to each other, so one identifier of them stays. Of rows that
+    repeat an identifier all stay or all go. An empty table gives no rows. Other columns pass through, whatever
+    their names.
+    """
+    return without(df, written(exact_duplicates(df, id_col, text_col).select("doc_id"), "gone"), id_col)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm.common import U, clean, find_words, folded_hashes, matching, mix, pieces, small
+from quillon.llm.common import U, clean, find_words, folded_hashes, matching, mix, pieces, small, without
 from quillon.llm.components import components
 from quillon.session import prepare, table, written
 
@@ -290,9 +290,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each group of near_duplicates(); rows without id or text stay."""
-    gone = near_duplicates(df, id_col, text_col).select(F.col("doc_id").alias("__gone"))
-    return df.join(F.broadcast(gone) if small(gone) else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """df with one document of each group of near_duplicates(), the smallest identifier.
+
+    Rows without id or text stay, as do texts without words. Of rows that repeat an identifier all stay or all go. An
+    empty table gives no rows. Other columns pass through, whatever their names.
+    """
+    return without(df, written(near_duplicates(df, id_col, text_col).select("doc_id"), "gone"), id_col)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import table
+from quillon.llm.common import unused
+from quillon.session import prepare, table
 
 SHARDS, MORE = 1024, 1152
 
@@ -53,17 +54,27 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, m
     empty table gives no rows. With `more` shards a key either stays or moves to one of the new shards.
     Only the id column is read, so other columns and their names do not matter; text may be null or empty.
     """
+    prepare(df.sparkSession)
     key = stable_key(F.col(id_col))
     out = df.select(F.col(id_col).alias("doc_id"), jump_shard(key, shards).alias("shard"), *([jump_shard(key, more).alias("shard_after")] if more else []))
     return out.withColumn("moved", F.col("shard") != F.col("shard_after")) if more else out
 
 
-def write_sharded(df: DataFrame, path: str, id_col: str = "doc_id", shards: int = SHARDS) -> None:
-    """Write df's columns below path/shard=N; rows of one shard go to one task, and spill is Spark's."""
-    name = "shard"
-    if name in df.columns:
-        raise ValueError("the table has a column of the partition's name")
-    df.withColumn(name, jump_shard(stable_key(F.col(id_col)), shards)).repartition(name).write.partitionBy(name).parquet(path)
+def write_sharded(df: DataFrame, path: str, id_col: str = "doc_id", shards: int = SHARDS, spread: int = 1) -> str:
+    """Write df's columns below path/NAME=N, one folder for each shard; returns NAME, which is `shard` unless df has it.
+
+    Rows of a shard go to `spread` tasks by a hash of their other columns, so that a key with a large share of all
+    rows can be parted. Rows of a null id go to the folder of the null partition and keep the null. Repeated rows are
+    written each. An empty table writes no shard. Texts may be null, empty or long; only the id is looked at.
+    """
+    prepare(df.sparkSession)
+    name, part = unused(df, "shard", "part")
+    rows = df.withColumn(name, jump_shard(stable_key(F.col(id_col)), shards))
+    keys = [name]
+    if spread > 1:
+        rows, keys = rows.withColumn(part, F.pmod(F.xxhash64(*df.columns), F.lit(spread))), [name, part]
+    rows.repartition(*keys).drop(part).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

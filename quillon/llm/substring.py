@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, small, word_hashes
+from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, small, unused, word_hashes
 from quillon.session import prepare, table, written
 
 LENGTH = 50  # words
@@ -367,26 +367,28 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     The stretches that repeated_passages(later=True) reports are cut out of the texts, what is left on either side
     is joined, and length_col, where df has it, becomes the new length. A document of which no word is left goes;
-    one that had none stays, as do rows without id or text. Rows that repeat an identifier keep their text.
+    one that had none stays, as do rows without id or text. Rows that repeat an identifier keep their text. An empty
+    table gives no rows. Other columns pass through, whatever their names.
     """
-    cuts = written(repeated_passages(df, id_col, text_col, length, later=True).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("__cuts")).withColumnRenamed("doc_id", "__id"), "cuts")
-    rows = written(df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__many")), "many")
-    cuts = cuts.join(rows, F.col("__id") == F.col("__many"), "left_anti")
-    joined = df.join(F.broadcast(cuts) if small(cuts, 1_000_000) else cuts, F.col(id_col) == F.col("__id"), "left")
-    text = F.col(text_col)
+    key, many, cuts_col = unused(df, "id", "many", "cuts")
+    cut = repeated_passages(df, id_col, text_col, length, later=True)
+    cuts = cut.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias(cuts_col))
+    twice = written(df.groupBy(F.col(id_col).alias(many)).agg(F.count("*").alias("n")).where("n > 1").select(many), "many")
+    cuts = written(cuts.join(twice, F.col(key) == F.col(many), "left_anti"), "cuts")
+    joined = df.join(F.broadcast(cuts) if small(cuts) else cuts, F.col(id_col) == F.col(key), "left")
+    text, size = F.col(text_col), F.size(cuts_col)
+    at = lambda i, name: F.try_element_at(cuts_col, i)[name].cast("int")
     # kept parts lie between the end of one cut and the start of the next
-    bounds = F.sequence(F.lit(0), F.size("__cuts"))
     part = lambda i: text.substr(
-        F.when(i == 0, F.lit(1)).otherwise(F.try_element_at("__cuts", i)["end_char"].cast("int") + 1),
-        F.when(i == F.size("__cuts"), F.char_length(text)).otherwise(F.try_element_at("__cuts", i + 1)["start_char"].cast("int")) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__cuts", i)["end_char"].cast("int")),
+        F.when(i == 0, F.lit(1)).otherwise(at(i, "end_char") + 1),
+        F.when(i == size, F.char_length(text)).otherwise(at(i + 1, "start_char")) - F.when(i == 0, F.lit(0)).otherwise(at(i, "end_char")),
     )
-    rest = F.concat_ws("", F.transform(bounds, part))
-    hit = F.col("__cuts").isNotNull()
-    changes = {text_col: F.when(hit, rest).otherwise(text)}
+    hit = F.col(cuts_col).isNotNull()
+    out = joined.withColumn(text_col, F.when(hit, F.concat_ws("", F.transform(F.sequence(F.lit(0), size), part))).otherwise(text))
     if length_col and length_col in df.columns:
-        changes[length_col] = F.when(hit, F.char_length(rest)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType)
-    out = joined.withColumns(changes).where(~hit | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
-    return out.select(*df.columns)
+        # in a projection of its own: a second copy of the lambda above beside the first reads wrong values
+        out = out.withColumn(length_col, F.when(hit, F.char_length(text_col)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType))
+    return out.where(~hit | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]")).select(*df.columns)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

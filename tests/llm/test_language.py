@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import language as L
 from quillon.llm.common import flat
@@ -13,43 +13,92 @@ PIECES = L.load_pieces()
 def spell(word: bytes) -> list[tuple[int, int, int]]:
     out = []
     for i in range(len(word)):
-        node = 1
+        state = 0
         for j in range(i, len(word)):
-            node = int(PIECES.step[node, PIECES.column[word[j]]])
-            if not node:
+            to = int(PIECES.base[state]) + word[j]
+            if PIECES.check[to] != state:
                 break
-            if PIECES.piece[node] >= 0:
-                out.append((i, j + 1, int(PIECES.piece[node])))
+            state = to
+            if PIECES.piece[state] >= 0:
+                out.append((i, j + 1, int(PIECES.piece[state])))
     return out
 
 
 def enumerate_sum(word: bytes, prob) -> float:
-    edges = spell(word)
-
-    def rest(i):
-        return 1.0 if i == len(word) else sum(prob[p] * rest(j) for a, j, p in edges if a == i)
-
-    return rest(0)
-
-
-def test_forward_against_enumeration():
-    prob = np.random.default_rng(5).random(PIECES.size)
-    prob /= prob.sum()
-    texts = ["The theory of École", "l'été; x9y", "日本語 zz", ""]
-    data, begin, length, which, rows = L.distinct_words(*flat(pa.array(texts)))
-    lat = L.lattice(data, begin, length, PIECES)
-    got = L.forward(lat, L.scaled(prob[:, None], L.piece_sizes(PIECES)))[lat.begin + lat.length, 0] / L.SCALE ** lat.length.astype(float)
-    want = [enumerate_sum(bytes(data[b : b + n]), prob) for b, n in zip(begin, length)]
-    assert np.allclose(got, want, rtol=1e-9)
-    words = [bytes(data[begin[w] + 1 : begin[w] + length[w]]).decode() for w in which]
-    assert words == ["the", "theory", "of", "école", "lété", "xy", "日本語", "zz"]
-    assert rows.tolist() == [0, 4, 6, 8, 8]
+    edges = {}
+    for a, j, p in spell(word):
+        edges.setdefault(a, []).append((j, prob[p]))
+    total = [0.0] * (len(word) + 1)
+    total[len(word)] = 1.0
+    for i in range(len(word) - 1, -1, -1):
+        total[i] = sum(p * total[j] for j, p in edges[i])
+    return total[0]
+
+
+def some_prob(seed):
+    prob = np.random.default_rng(seed).random(len(PIECES.size))
+    return prob / prob.sum()
+
+
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=L.VOCABULARY)
+    want = {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    want = {w for w in want if b" " not in w[1:]} | {bytes([b]) for b in range(256)}
+    assert len(PIECES.size) == len(want)
+    for w in want:
+        assert spell(w)[[j for i, j, _ in spell(w) if i == 0].index(len(w))][2] >= 0
+    assert PIECES.size.max() == max(map(len, want))
+
+
+def test_forward_against_sums_over_all_segmentations():
+    prob = some_prob(5)
+    texts = ["The THEORY of École", "l'été; x9y\t2024-01-02 https://a.b/c?d=e", "日本語 zz \x00\x01", "", "ab" * 9 + "日" * 7]
+    words = L.distinct_words(*flat(pa.array(texts)))
+    lat = L.lattice(words.data, words.begin, words.length, PIECES)
+    got = L.log_sums(lat, L.scaled(prob[:, None], PIECES.size))[:, 0]
+    spelt = [bytes(words.data[b : b + n]) for b, n in zip(words.begin, words.length)]
+    assert np.allclose(got, [np.log(enumerate_sum(w, prob)) for w in spelt], rtol=1e-9)
+    assert [spelt[w][1:].decode() for w in words.which] == " ".join(texts).split()
+    assert {spelt[c]: spelt[w] for c, w in zip(words.capital, words.lower)} == {b" The": b" the", b" THEORY": b" theory", " École".encode(): " école".encode()}
+    assert words.rows.tolist() == [0, 4, 8, 11, 11, 12]
 
 
 def test_long_words_are_scored_whole():
-    text = "ab" * 5000
-    data, begin, length, which, rows = L.distinct_words(*flat(pa.array([text])))
-    assert sum(length[w] - 1 for w in which) == len(text) and length.max() <= L.LONGEST
+    prob = some_prob(6)
+    for text in ("ab" * 3000, "the" * 1000, "日本" * 700, "x1" * 900 + "theory" * 300):
+        words = L.distinct_words(*flat(pa.array([text, "short"])))
+        lat = L.lattice(words.data, words.begin, words.length, PIECES)
+        got = L.log_sums(lat, L.scaled(np.stack([prob, prob[::-1]], 1), PIECES.size))
+        for k, own in enumerate((prob, prob[::-1])):
+            word = b" " + text.encode()
+            alpha = np.full(len(word) + 1, -np.inf)
+            alpha[0] = 0.0
+            for i, j, p in sorted(spell(word), key=lambda e: e[1]):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.log(own[p]))
+            assert np.isclose(got[words.which[0], k], alpha[-1], rtol=1e-9)
+
+
+def test_case_is_marginalised():
+    prob = L.scaled(some_prob(7)[:, None], PIECES.size)
+    words = L.distinct_words(*flat(pa.array(["THE the"])))
+    each = L.word_log_probs(words, PIECES, prob)[words.which, 0]
+    spelt = lambda w: np.log(enumerate_sum(w, prob[:, 0] / L.SCALE**PIECES.size))
+    assert np.allclose(each, [np.logaddexp(spelt(b" THE") + np.log(1 - L.CASE), spelt(b" the") + np.log(L.CASE)), spelt(b" the")])
+
+
+def test_likeness_against_loop():
+    rng = np.random.default_rng(3)
+    each, size, rows = -rng.random(40) * 9, rng.integers(1, 9, 40), np.array([0, 0, 7, 8, 40])
+    got = L.likeness(each, size, rows)
+    for r in range(4):
+        left = half = size[rows[r] : rows[r + 1]].sum() / 2
+        total = 0.0
+        for rate, n in sorted(((each[i] / size[i], size[i]) for i in range(rows[r], rows[r + 1])), reverse=True):
+            total += min(left, n) * rate
+            left -= min(left, n)
+        assert np.isclose(got[r], total / max(half, 1))
 
 
 def test_fit_raises_likelihood():
@@ -82,6 +131,17 @@ def test_awkward_rows(spark, sf):
     assert L.train(df.limit(0)) is None
     kept = L.keep_identified(docs.limit(100))
     assert kept.columns == docs.columns and kept.count() >= 98
+    blind = docs.limit(50).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(L.keep_identified(blind).collect(), key=str) == sorted(blind.collect(), key=str)
+
+
+def test_numbers_codes_and_capitals_do_not_count_against_a_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.train(docs)
+    base = docs.where("lang = 'en' and n_chars > 500").orderBy("doc_id").first().text[:400]
+    rows = [(1, base.upper()), (2, base + " 4734663219866878 40d78a45c418324758e099eb7cb89bc0f5fa9f62 " * 3), (3, base + "!!! " * 40), (4, FINNISH * 4), (5, "0123456789 " * 40)]
+    got = {r.doc_id: r.accepted for r in L.identify(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False}
 
 
 FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "

@@ -1,5 +1,7 @@
 """The pipeline stage by stage against brute force on small tables."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -82,9 +84,18 @@ def test_awkward_documents(spark):
     got = {r.doc_id: r for r in cut_repeats(df).collect()}
     assert set(got) == {1, 3, 4, 5, None, 7, 8} and got[1].text == rows[0][1] and got[None].text == passage
     assert got[3].text.split() == "and of the and then the rest of this text".split() and got[3].n_chars == len(got[3].text)
-    assert cut_repeats(df).columns == df.columns
-    for data in (df, df.limit(0)):
+    clash = df.selectExpr("*", "1 as __gone", "2 as gone", "3 as id", "4 as cuts", "5 as many", "6 as __id", "7 as __cuts", "8 as n", "9 as kept_doc_id", "10 as shard")
+    assert cut_repeats(clash).columns == clash.columns
+    assert {r.doc_id: r.text for r in cut_repeats(clash).collect()} == {d: r.text for d, r in got.items()}
+    for data in (df, clash):
         docs = data
+        for name, stage in C.STAGES:
+            before, docs = docs, stage(spark, docs, "")
+            if name != "packing":
+                assert docs.columns == data.columns and docs.where("doc_id is null").count() == before.where("doc_id is null").count()
+        packed, left = docs.collect(), before.collect()  # the sign between é and of is no white space here
+        assert sum(r.n_tokens for r in packed) == sum(len(re.split(r"[ \t\n\x0b\f\r]+", r.text.strip(" \t\n\x0b\f\r"))) for r in left if r.text)
+        docs = data.limit(0)
         for _, stage in C.STAGES:
             docs = stage(spark, docs, "")
-        docs.collect()
+            assert docs.count() == 0
