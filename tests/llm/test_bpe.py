@@ -1,44 +1,84 @@
-"""BPE: tree against encoding at once, monoid laws, round trips."""
+"""BPE: the tree against a written-out merge loop and against an encoder of another make, monoid laws, round trips."""
 
+import base64
 import hashlib
 import random
 
-import numpy as np
 import pytest
+import regex
 
-from quillon.llm.bpe import codec, decode_documents, encode_documents
+from quillon.llm.bpe import PATTERN, VOCABULARY, codec, decode_documents, encode_documents
 
-PARTS = ["the", " the", " and", "don't", "'s", "'re", "'", '"', " ", "  ", "\n", "\n\n", "\t", "1", "2024", " 3.14", "École", " été", "日本", "🙂", "!!", "...", "xyz" * 5, "a'll", " ", "\r\n", "_", "<|endoftext|>", "s", "l", "\x1c", "é"]
+PARTS = ["the", " the", " and", "don't", "'s", "'re", "'", '"', " ", "  ", "\n", "\n\n", "\t", "1", "2024", " 3.14", "École", " été", "日本", "🙂", "!!", "...", "xyz" * 5, "a'll", " ", "\r\n", "_", "<|endoftext|>", "s", "l", "\x1c", "é", "a" * 70, "hahaha" * 9]
+RANKS = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(VOCABULARY, "rb"))}
+
+
+def loop(text: str) -> list[int]:
+    """Encoding by its definition: in each match of the pattern the lowest-ranked pair, leftmost first, is merged until none is left."""
+    out = []
+    for part in regex.findall(PATTERN, text):
+        runs = [bytes([b]) for b in part.encode()]
+        while True:
+            ranked = [(RANKS[a + b], i) for i, (a, b) in enumerate(zip(runs, runs[1:])) if a + b in RANKS]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            runs[i : i + 2] = [runs[i] + runs[i + 1]]
+        out += [RANKS[r] for r in runs]
+    return out
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_tree_equals_whole(seed):
+def test_tree_equals_loop(seed):
     rng = random.Random(seed)
     own = codec()
-    for _ in range(25):
-        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 200)))
-        want = own.plain.encode_ordinary(text)
-        for leaf in (1, 7, 64):
-            got = own.encode(text, leaf)
-            assert got.tolist() == want
-        assert own.decode(got, 5) == text.encode()
+    for _ in range(12):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 80)))
+        want = loop(text)
+        for leaf in (1, 2, 7, 64):
+            assert own.encode(text, leaf) == want
+        assert own.decode(want, 5) == text.encode()
+
+
+def test_another_encoder():
+    import tiktoken
 
+    other = tiktoken.Encoding("other", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    own, rng = codec(), random.Random(5)
+    for _ in range(40):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 3000)))
+        assert own.encode(text) == other.encode_ordinary(text)
+    for text in ("ab" * 30_000, " " * 30_000, "日" * 20_000, "word " * 20_000, "a" * 9_999, "\n" * 999 + "x", "".join(rng.choice("ehst") for _ in range(20_000))):
+        assert own.encode(text) == other.encode_ordinary(text)
 
-def test_monoid_laws():
+
+def test_monoid_laws_of_texts():
     own, rng = codec(), random.Random(1)
-    for _ in range(60):
-        a, b, c = ("".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 60))) for _ in range(3))
-        x, y, z = map(own.leaf, (a, b, c))
-        left = own.join(a + b, own.join(a, x, b, y), c, z)
-        right = own.join(a, x, b + c, own.join(b, y, c, z))
-        assert left.tolist() == right.tolist() == own.plain.encode_ordinary(a + b + c)
-        assert own.join("", own.leaf(""), a, x).tolist() == x.tolist() == own.join(a, x, "", own.leaf("")).tolist()
+    copy = lambda x: (list(x[0]), list(x[1]))
+    for _ in range(80):
+        a, b, c = ("".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 40))) for _ in range(3))
+        text, i, j, n = a + b + c, len(a), len(a + b), len(a + b + c)
+        x, y, z = own.leaf(text, 0, i), own.leaf(text, i, j), own.leaf(text, j, n)
+        left = own.join(text, 0, j, n, own.join(text, 0, i, j, copy(x), copy(y)), copy(z))
+        right = own.join(text, 0, i, n, copy(x), own.join(text, i, j, n, copy(y), copy(z)))
+        assert left == right and [t for part in left[1] for t in part] == loop(text)
+        assert own.join(text, 0, 0, i, ([], []), copy(x)) == x == own.join(text, 0, i, i, copy(x), ([], []))
+
+
+def test_monoid_laws_of_tokens():
+    own, rng = codec(), random.Random(2)
+    for _ in range(150):
+        a, b, c = (bytes(rng.choice(b"abehst" if rng.random() < 0.7 else b"a\xe6\x97\xa5") for _ in range(rng.randrange(0, 60))) for _ in range(3))
+        x, y, z = map(own.merged, (a, b, c)) if a and b and c else (own.merged(a) if a else (), own.merged(b) if b else (), own.merged(c) if c else ())
+        left, right = own.join_tokens(own.join_tokens(x, y), z), own.join_tokens(x, own.join_tokens(y, z))
+        assert left == right and (not a + b + c or left == own.merged(a + b + c) == own.merged_by_heap(a + b + c) == own.encode_bytes(a + b + c))
 
 
-def test_long_text_without_seams():
+def test_every_piece_is_its_own_encoding():
     own = codec()
-    for text in ("ab" * 30_000, " " * 30_000, "日" * 20_000, "word " * 20_000):
-        assert own.encode(text).tolist() == own.plain.encode_ordinary(text)
+    runs = own.merged_by_heap
+    assert all(own.merged(piece) == (rank,) for piece, rank in RANKS.items())
+    assert all(runs(piece) == (rank,) for piece, rank in list(RANKS.items())[::7])
 
 
 def test_documents(spark, sf):
@@ -51,5 +91,5 @@ def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {r.doc_id: r.text for r in docs.collect()}
     for r in encode_documents(docs).collect():
-        assert r.tokens == codec().plain.encode_ordinary(want[r.doc_id]) and r.n_tokens == len(r.tokens)
+        assert r.tokens == loop(want[r.doc_id]) and r.n_tokens == len(r.tokens)
         assert r.decoded_md5 == hashlib.md5(want[r.doc_id].encode()).hexdigest()
