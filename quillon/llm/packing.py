@@ -15,6 +15,7 @@ from quillon.session import prepare, table, written
 
 CAPACITY = 2048
 GROUP = 512
+BLOCK = 4096  # copies of one (id, length) that are numbered as one
 PACKED = ["window_id", "position", "doc_id", "piece", "start_token", "end_token", "n_tokens"]
 
 
@@ -91,35 +92,50 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(window_id, position, doc_id, piece, start_token, end_token, n_tokens): every word of every document
     in exactly one window of at most `capacity` words.
 
-    A document longer than a window is cut into full windows and a rest. Pieces are spread by a hash of
-    (doc_id, piece) over buckets of about `group` pieces, each packed on its own, so work is linear and only
-    (id, length) pairs are shuffled; results do not depend on the partitioning of the input. Null and empty
-    texts have no words and give no rows; rows with a null id are packed too and keep the null. Repeated rows
-    are packed each. An empty table gives no rows. Other columns are not read.
+    A document longer than a window is cut into full windows and a rest. Rows are first counted by (id, length), and
+    the copies of one such pair numbered; pieces are then spread by a hash of (id, piece, end, copy) over buckets of about
+    `group`, each packed on its own. So work is linear, only ids, lengths and counts are shuffled, a pair that is a
+    large share of all rows is spread evenly, and results do not depend on the partitioning of the input.
+
+    Null and empty texts have no words and give no rows; rows with a null id are packed too and keep the null.
+    Repeated rows are packed each. Pieces of equal length go in the order of (id, piece), null ids last; equal sums in the order
+    in which their windows were made. Texts may be of any length. An empty table gives no rows. Other columns are not
+    read.
     """
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     base = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = written(base.mapInArrow(lengths, "doc_id bigint, n bigint").where("n > 0"), "lengths")
-    cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / capacity)))).select(
-        "doc_id", "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.col("n"), (F.col("piece") + 1) * capacity).alias("end_token")
+    sized = written(base.mapInArrow(lengths, "doc_id bigint, n bigint").where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("copies")), "lengths")
+    parts = F.floor((F.col("n") - 1) / capacity) + 1
+    count, most = sized.agg(F.sum(parts * F.col("copies")), F.max("copies")).first()
+    buckets = max(1, -(-int(count or 0) // group))
+    rows = lambda of, name: F.explode(F.sequence(F.lit(0).cast("bigint"), of - 1)).alias(name)
+    if (most or 0) > BLOCK:  # copies are numbered in blocks, which tasks share
+        blocks = sized.select("doc_id", "n", "copies", rows(F.ceil(F.col("copies") / BLOCK), "block")).repartition("doc_id", "n", "block")
+        here = F.least(F.lit(BLOCK).cast("bigint"), F.col("copies") - F.col("block") * BLOCK)
+        each = blocks.select("doc_id", "n", "block", rows(here, "k")).select("doc_id", "n", (F.col("block") * BLOCK + F.col("k")).alias("copy"))
+    else:
+        each = sized.select("doc_id", "n", rows(F.col("copies"), "copy"))
+    cut = each.select("doc_id", "n", "copy", rows(parts, "piece")).select(
+        "doc_id", "piece", (F.col("piece") * capacity).alias("start_token"), F.least(F.col("n"), (F.col("piece") + 1) * capacity).alias("end_token"), "copy"
     )
-    count = sized.agg(F.sum(F.floor((F.col("n") - 1) / capacity) + 1)).first()[0] or 0
-    buckets = max(1, -(-int(count) // group))
 
     def packed(rows: pa.Table) -> pa.Table:
         ids = rows["doc_id"].combine_chunks()
         start, end, piece = (rows[c].to_numpy() for c in ("start_token", "end_token", "piece"))
         size = end - start
         order = np.lexsort((end, piece, ids.fill_null(np.iinfo(np.int64).max).to_numpy(), -size))
-        where = pack(size[order], capacity)
+        where, parts = np.empty(len(order), np.int64), max(1, len(order) // (2 * group))
+        for k in range(parts):  # a bucket that chance has filled is packed in parts, as differencing holds items times windows
+            own = order[k::parts]
+            where[k::parts] = pack(size[own], capacity) * parts + k
         by = np.argsort(where, kind="stable")
-        window = where[by]
+        window = np.unique(where[by], return_inverse=True)[1]
         position = np.arange(len(by)) - np.searchsorted(window, window)
         take = order[by]
         columns = [rows["bucket"].to_numpy()[take] * np.int64(1 << 24) + window, position, ids.take(pa.array(take)), piece[take], start[take], end[take], size[take]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=PACKED)
 
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "end_token"), F.lit(buckets)))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "end_token", "copy"), F.lit(buckets)))
     return keyed.groupBy("bucket").applyInArrow(packed, ", ".join(f"{c} bigint" for c in PACKED))
 
 

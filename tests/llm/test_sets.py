@@ -6,9 +6,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quillon.llm import exact_dedup as E
 from quillon.llm.exact_dedup import PatriciaTrie, drop_exact_duplicates, exact_duplicates, shared_prefix
+from quillon.llm import packing as P
 from quillon.llm.packing import difference, pack, pack_documents
-from quillon.llm.sharding import assign_shards, jump
+from quillon.llm.sharding import assign_shards, jump, write_sharded
 
 SCHEMA = "doc_id bigint, text string, len string, hash string, bucket string, n string, __gone_ string, window_id string"
 
@@ -28,7 +30,11 @@ def test_trie_against_dictionary():
         ident = rng.randrange(10**6)
         want[key] = min(want.get(key, ident), ident)
         trie.insert(key, ident)
-    assert {k: n[4] for k, n in trie.terminals} == want
+    assert trie.bytes > 0
+    got = {}
+    while trie.weight:
+        got |= {k: (owner, len(members)) for k, owner, members in trie.spill()}
+    assert {k: o for k, (o, _) in got.items()} == want and sum(n for _, n in got.values()) == 3000
     for a, b in ((b"", b""), (b"abc", b"abd"), (b"a" * 1000 + b"x", b"a" * 1000 + b"y"), (b"q" * 77, b"q" * 77)):
         n = min(len(a), len(b))
         assert shared_prefix(a, 0, b, 0, n) == next((i for i in range(n) if a[i] != b[i]), n)
@@ -42,6 +48,28 @@ def test_exact_duplicates(spark):
     assert exact_duplicates(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flush,part,fan", [(1 << 25, 1 << 22, 256), (3000, 1, 1), (3000, 1 << 22, 1), (0, 500, 256)])
+def test_exact_duplicates_against_dictionary(spark, monkeypatch, flush, part, fan):
+    for name, value in (("FLUSH", flush), ("PART", part), ("FAN", fan)):
+        monkeypatch.setattr(E, name, value)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randrange(0, 9))) + "tail" * rng.randrange(3) for _ in range(400)]
+    rows = [(rng.randrange(10**6), rng.choice(texts)) for _ in range(2500)]
+    rows = list({i: t for i, t in rows}.items()) * 2
+    first = {}
+    for i, t in rows:
+        first[t] = min(first.get(t, i), i)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.kept_doc_id for r in exact_duplicates(df).collect()}
+    assert got == {i: first[t] for i, t in rows if first[t] < i}
+
+
+def test_many_copies_of_one_text(spark):
+    base = spark.range(50_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'one licence' else concat('text ', id) end as text")
+    got = exact_duplicates(base)
+    assert got.count() == 16_666 and got.select("kept_doc_id").distinct().collect()[0][0] == 0
+
+
 def naive_difference(sizes, k):
     parts = [[[(s, [i])] + [(0, [])] * (k - 1), i] for i, s in enumerate(sizes)]
     nxt = len(sizes)
@@ -88,6 +116,27 @@ def test_pack_documents_covers_every_word(spark):
     assert pack_documents(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_packing_of_equal_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    many = spark.range(50_000 if block > 100 else 300)
+    for df, each in ((many.selectExpr("cast(null as bigint) as doc_id", "repeat('w ', 500) as text"), 500), (many.selectExpr("7L as doc_id", "repeat('w ', 2048 + 30) as text"), 2078)):
+        rows = pack_documents(df.repartition(3))
+        assert rows.agg({"n_tokens": "sum"}).first()[0] == each * many.count()
+        assert rows.groupBy("window_id").agg({"n_tokens": "sum"}).agg({"sum(n_tokens)": "max"}).first()[0] <= 2048
+        assert rows.select("window_id", "position").distinct().count() == rows.count()
+        assert sorted(rows.collect()) == sorted(pack_documents(df.repartition(5)).collect())
+
+
+def test_full_bucket_is_packed_in_parts(spark):
+    df = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(id % 90 + 1 as int)) as text")
+    rows = pack_documents(df, capacity=100, group=2).collect()
+    load = defaultdict(int)
+    for r in rows:
+        load[r.window_id] += r.n_tokens
+    assert sum(load.values()) == sum(i % 90 + 1 for i in range(400)) and max(load.values()) <= 100
+
+
 def test_packing_fills_windows(spark, sf):
     rows = pack_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     total = sum(r.n_tokens for r in rows)
@@ -117,3 +166,15 @@ def test_assign_shards(spark):
     assert all((r.shard is None) == (r.doc_id is None) == (r.moved is None) for r in rows)
     assert len({r.shard for r in rows if r.doc_id == 3}) == 1
     assert assign_shards(docs(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_write_sharded(spark, tmp_path):
+    df = docs(spark, AWKWARD).selectExpr("*", "1 as shard", "2 as part")
+    for spread in (1, 3):
+        path = str(tmp_path / f"out{spread}")
+        name = write_sharded(df, path, shards=4, spread=spread)
+        back = spark.read.parquet(path)
+        assert name == "shard_" and sorted(back.select(*df.columns).collect(), key=str) == sorted(df.collect(), key=str)
+        want = {r.doc_id: r.shard for r in assign_shards(df, shards=4).collect()}
+        assert all(r[name] == want[r.doc_id] for r in back.select("doc_id", name).collect())
+    write_sharded(df.limit(0), str(tmp_path / "none"))
