@@ -47,7 +47,7 @@ _JUMP = pow(_P, SPAN, 1 << 64)
 
 
 def run_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run data[lo : hi] (rising, disjoint), independent of where it stands and of its neighbours.
+    """64-bit hash of each run data[lo : hi], independent of where it stands and of its neighbours. Neither lo nor hi may fall.
 
     Prefix sums of SPAN bytes at a time, so that no table grows with a text.
     """

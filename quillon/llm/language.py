@@ -123,23 +123,23 @@ def lattice(data: np.ndarray, begin: np.ndarray, length: np.ndarray, pieces_: Pi
     """data[begin : begin + length] are the words (all of data, in order). With `most`, stretches are cut after so many
     bytes, and pieces across the cuts left out, as in fitting."""
     n = len(data)
-    left = np.repeat(begin + length, length) - np.arange(n)
-    live, state = np.arange(n), np.zeros(n, np.int32)
+    left = (np.repeat(begin + length, length) - np.arange(n)).astype(np.int32)
+    live, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     starts, sizes, found = [], [], []
     for k in range(pieces_.depth):
-        to = pieces_.base[state] + data[live + k]
-        on = pieces_.check[to] == state
-        live, state = live[on], to[on]
-        hit = pieces_.piece[state]
-        ok = hit >= 0
-        starts.append(live[ok])
-        found.append(hit[ok])
-        sizes.append(np.full(len(starts[-1]), k + 1, np.int16))
-        more = left[live] > k + 1
-        live, state = live[more], state[more]
+        to = pieces_.base.take(state) + data.take(live + k)
+        on = np.flatnonzero(pieces_.check.take(to) == state)
+        live, state = live.take(on), to.take(on)
+        hit = pieces_.piece.take(state)
+        ok = np.flatnonzero(hit >= 0)
+        starts.append(live.take(ok))
+        found.append(hit.take(ok))
+        sizes.append(np.full(len(ok), k + 1, np.int16))
+        more = np.flatnonzero(left.take(live) > k + 1)
+        live, state = live.take(more), state.take(more)
         if not len(live):
             break
-    start, size, hit = np.concatenate(starts), np.concatenate(sizes).astype(np.int64), np.concatenate(found)
+    start, size, hit = np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64), np.concatenate(found)
     wide = size > 1
     across = np.cumsum(np.bincount(start[wide] + 1, minlength=n + 1) - np.bincount(start[wide] + size[wide], minlength=n + 1))[:n]
     fresh = across == 0
@@ -178,8 +178,12 @@ def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
     stretches. prob: [pieces, models]."""
     alpha = np.zeros((lat.slots, prob.shape[1]))
     alpha[lat.begin] = 1.0
+    take = lambda a, at: np.take(a, at, axis=0, mode="clip")
     for end, piece, size in lat.runs:
-        alpha[end] += alpha[end - size] * prob[piece]
+        more = take(prob, piece)
+        more *= take(alpha, end - size)
+        more += take(alpha, end)
+        alpha[end] = more
     return alpha
 
 

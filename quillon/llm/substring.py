@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, small, unused, word_hashes
+from quillon.llm.common import U, clean, find_words, flat, matching, mix, pieces, run_hashes, small, unused, word_hashes
 from quillon.session import prepare, table, written
 
 LENGTH = 50  # words
 GRAM = 10
 SHARD = 1 << 19  # words in one index
+HOT = 4096  # documents of one hash whose windows go to one index
 ASK = 16  # stretches of a window that are asked for as one
 
 
@@ -75,6 +76,46 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
+class Minima:
+    """Smallest value of any range of an array: minima from each place to either end of its block of BLOCK, and a table of
+    doubling ranges over whole blocks. It takes about four numbers a place, whatever the length."""
+
+    BLOCK = 8
+
+    def __init__(self, data: np.ndarray):
+        n = -(-len(data) // self.BLOCK) * self.BLOCK
+        self.data = np.full(n, np.iinfo(data.dtype).max, data.dtype)
+        self.data[: len(data)] = data
+        blocks = self.data.reshape(-1, self.BLOCK)
+        self.ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        self.behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel().copy()
+        self.table = [blocks.min(1)]
+        while 2 << len(self.table) - 1 <= len(blocks):
+            step = 1 << len(self.table) - 1
+            self.table.append(np.minimum(self.table[-1][:-step], self.table[-1][step:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Smallest of data[lo : hi] for ranges that are not empty."""
+        first, last = lo // self.BLOCK, (hi - 1) // self.BLOCK
+        out = np.minimum(self.behind[lo], self.ahead[hi - 1])
+        same = np.flatnonzero(first == last)
+        if len(same):
+            a, b = lo[same], hi[same]
+            least = self.data[a]
+            for k in range(1, self.BLOCK):
+                least = np.minimum(least, self.data[np.minimum(a + k, b - 1)])
+            out[same] = least
+        wide = np.flatnonzero(last - first > 1)
+        if len(wide):
+            a, b = first[wide] + 1, last[wide]
+            level = np.frexp((b - a).astype(np.float64))[1] - 1
+            for k in np.unique(level).tolist():
+                own = level == k
+                x = np.minimum(self.table[k][a[own]], self.table[k][b[own] - (1 << k)])
+                out[wide[own]] = np.minimum(out[wide[own]], x)
+        return out
+
+
 class FMIndex:
     """Backward search over a text of words, with the smallest and largest document of any range of suffixes."""
 
@@ -85,11 +126,7 @@ class FMIndex:
         self.first = np.zeros(self.sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=self.sigma), out=self.first[1:])
         self.bwt = Wavelet(text[order - 1], self.sigma - 1)
-        self.low, self.high = [low[order]], [high[order]]
-        while 2 << len(self.low) - 1 <= len(text):
-            step = 1 << len(self.low) - 1
-            self.low.append(np.minimum(self.low[-1][:-step], self.low[-1][step:]))
-            self.high.append(np.maximum(self.high[-1][:-step], self.high[-1][step:]))
+        self.low, self.high = Minima(low[order]), Minima(-high[order])
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes after one more symbol to the left."""
@@ -99,14 +136,7 @@ class FMIndex:
 
     def documents(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest and largest document of each non-empty range."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        low, high = np.empty(len(lo), np.int32), np.empty(len(lo), np.int32)
-        for k in np.unique(level):
-            own = level == k
-            a, b = lo[own], hi[own] - (1 << k)
-            low[own] = np.minimum(self.low[k][a], self.low[k][b])
-            high[own] = np.maximum(self.high[k][a], self.high[k][b])
-        return low, high
+        return self.low.of(lo, hi), -self.high.of(lo, hi)
 
 
 def matched(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray, later: bool) -> np.ndarray:
@@ -226,57 +256,114 @@ def anchor_hashes(length: int):
 
 
 def windows(length: int):
-    """Rows of (doc_id, text, hot hashes) to windows (h, doc_id, word, char, body): the words from the first to the
-    last stretch of each hot anchor."""
+    """Rows of (doc_id, text, few, many) to windows and stretches.
+
+    Of each anchor in `few`, the window from its first to its last stretch: (h, w, doc_id, word, char, words, chars), w being a
+    hash of its bytes. The first of the equal windows of a batch has the body too, with the smallest and largest
+    document of those. Of each anchor in `many`, its stretches on their own: h and w are then two hashes of a stretch's words,
+    and words is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in pieces(batches):
             words = find_words(buf, offs)
-            row, code, a, b = anchors(word_hashes(buf, words), words.of, length)
-            hot = batch.column(batch.schema.get_field_index("hot"))
-            sizes = hot.value_lengths().to_numpy()
+            codes = word_hashes(buf, words)
+            row, code, a, b = anchors(codes, words.of, length)
             salt = lambda c, r: mix(c) + r.astype(np.uint64) * U(0xD6E8FEB86659FD93)
-            known = salt(hot.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), sizes))
-            use = np.isin(salt(code, row), known)
-            row, code, a, b = row[use], code[use], a[use], b[use]
-            if not len(row):
-                continue
-            lo, hi = words.start[a], words.end[b + length - 1]
+            ids = batch.column(0)
             chars = np.zeros(len(buf) + 1, np.int64)
             np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-            size = hi - lo
-            offsets = np.append(0, np.cumsum(size))
-            for i in range(0, len(row), 4096):
-                j = min(i + 4096, len(row))
-                take = np.arange(offsets[j] - offsets[i]) - np.repeat(offsets[i:j] - offsets[i], size[i:j]) + np.repeat(lo[i:j], size[i:j])
-                body = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer((offsets[i : j + 1] - offsets[i]).astype(np.int32)), pa.py_buffer(buf[take])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[i:j].view(np.int64)), batch.column(0).take(pa.array(row[i:j])), pa.array(a[i:j] - words.of[row[i:j]]), pa.array(chars[lo[i:j]] - chars[offs[row[i:j]]]), body],
-                    names=["h", "doc_id", "word", "char", "body"],
-                )
+
+            def among(name: str) -> np.ndarray:
+                own = batch.column(batch.schema.get_field_index(name))  # noqa: B023
+                known = salt(own.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy()))  # noqa: B023
+                return np.flatnonzero(np.isin(salt(code, row), known))  # noqa: B023
+
+            use = among("few")
+            if len(use):
+                yield from placed(use, row, code, a, b, words, codes, chars, buf, offs, ids, length)
+            use = among("many")
+            if len(use):
+                yield from stretched(use, row, a, b, words, codes, chars, offs, ids, length)
 
     return run
 
 
+WINDOWS = "h bigint, w bigint, doc_id bigint, word bigint, char bigint, words int, chars int, lo bigint, hi bigint, body string"
+NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
+
+
+def placed(use, row, code, a, b, words, codes, chars, buf, offs, ids, length) -> Iterator[pa.RecordBatch]:
+    row, code, a, b = row[use], code[use], a[use], b[use]
+    count = b + length - a
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    whole = np.add.reduceat(mix(codes[at + np.repeat(a, count)] + at.astype(np.uint64) * U(0x9E3779B97F4A7C15)), np.cumsum(count) - count)
+    lo, hi = words.start[a], words.end[b + length - 1]
+    whole = mix(whole + run_hashes(buf, lo, hi))  # of white space too, as offsets in characters depend on it
+    doc = ids.take(pa.array(row)).to_numpy()
+    order = np.lexsort((doc, whole, code))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (whole[order][1:] != whole[order][:-1]) | (code[order][1:] != code[order][:-1])
+    begins = np.flatnonzero(fresh)
+    chosen = order[begins]
+    least, most = doc[chosen], doc[order[np.append(begins[1:], len(order)) - 1]]
+    rest = order[~fresh]
+
+    def rows(at: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x) for x in (code[at].view(np.int64), whole[at].view(np.int64), doc[at], a[at] - words.of[row[at]], chars[lo[at]] - chars[offs[row[at]]], count[at].astype(np.int32), (chars[hi[at]] - chars[lo[at]]).astype(np.int32))]
+
+    size = hi - lo
+    for i in range(0, len(chosen), 4096):
+        own = chosen[i : i + 4096]
+        ends = np.cumsum(size[own])
+        take = np.arange(int(ends[-1])) - np.repeat(ends - size[own], size[own]) + np.repeat(lo[own], size[own])
+        body = pa.Array.from_buffers(pa.string(), len(own), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(buf[take])])
+        yield pa.RecordBatch.from_arrays([*rows(own), pa.array(least[i : i + 4096]), pa.array(most[i : i + 4096]), body], names=NAMES)
+    if len(rest):
+        none = pa.nulls(len(rest), pa.int64())
+        yield pa.RecordBatch.from_arrays([*rows(rest), none, none, pa.nulls(len(rest), pa.string())], names=NAMES)
+
+
+def stretched(use, row, a, b, words, codes, chars, offs, ids, length) -> Iterator[pa.RecordBatch]:
+    row, a, count = row[use], a[use], b[use] - a[use] + 1
+    row = np.repeat(row, count)
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+    two = []
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # rolling hashes of `length` words from each place
+        up = np.full(len(codes) + 1, U(odd))
+        up[0] = 1
+        up = np.cumprod(up)
+        down = np.full(len(codes) + 1, U(pow(odd, -1, 1 << 64)))
+        down[0] = 1
+        down = np.cumprod(down)
+        run = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix(codes ^ U(odd)) * up[:-1], out=run[1:])
+        two.append(mix((run[at + length] - run[at]) * down[at]).view(np.int64))
+    lo, hi = words.start[at], words.end[at + length - 1]
+    zero, none = pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.int64())
+    columns = [*two, ids.take(pa.array(row)), at - words.of[row], chars[lo] - chars[offs[row]]]
+    yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), zero, pa.array((chars[hi] - chars[lo]).astype(np.int32)), none, none, pa.nulls(len(at), pa.string())], names=NAMES)
+
+
+MATCHES = "h bigint, w bigint, doc_id bigint, a bigint, b bigint, x bigint, y bigint"
+
+
 def shard_matches(parts: list[pa.RecordBatch], length: int, later: bool) -> pa.RecordBatch:
-    """Repeated stretches of one shard's windows (all windows of its hashes). Equal windows are indexed once, with the
-    smallest and largest of their documents."""
+    """Repeated stretches of one shard's distinct windows (all windows of its hashes), each asked for in the name of its
+    smallest document: as words [a, b) and characters [x, y) of the window."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     buf, offs = flat(rows["body"])
-    code = rows["h"].to_numpy()
-    ids, doc = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+    code, whole = rows["h"].to_numpy(), rows["w"].to_numpy()
+    ids, doc = np.unique(np.concatenate([rows["lo"].to_numpy(), rows["hi"].to_numpy()]), return_inverse=True)
     doc = doc.astype(np.int32)  # in the order of the ids; the tables of the index are of these
-    words = find_words(buf, offs)
-    hashes = word_hashes(buf, words)
-    at = (np.arange(len(hashes)) - np.repeat(words.of[:-1], words.count)).astype(np.uint64)
-    whole = np.add.reduceat(mix(hashes + at * U(0x9E3779B97F4A7C15)), words.of[:-1])
-    order = np.lexsort((doc, whole, code))
+    order = np.lexsort((whole, code))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (whole[order][1:] != whole[order][:-1]) | (code[order][1:] != code[order][:-1])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(fresh) - 1
-    chosen = order[fresh]  # with the smallest document of the equal ones
-    low, high = doc[chosen], doc[order[np.append(np.flatnonzero(fresh)[1:], len(order)) - 1]]
+    begins = np.flatnonzero(fresh)
+    chosen = order[begins]
+    low, high = np.minimum.reduceat(doc[: len(order)][order], begins), np.maximum.reduceat(doc[len(order) :][order], begins)
+    words = find_words(buf, offs)
+    hashes = word_hashes(buf, words)
     count = words.count[chosen]
     # text: the distinct windows, each followed by a sign of its own kind 0
     begin = np.cumsum(count + 1) - (count + 1)
@@ -288,31 +375,41 @@ def shard_matches(parts: list[pa.RecordBatch], length: int, later: bool) -> pa.R
     spread = np.repeat(np.arange(len(chosen)), count + 1)
     # windows of several documents are repeated as a whole; so, with `later`, are all but their smallest document's
     ask = np.flatnonzero(np.ones(len(chosen), bool) if later else low == high)
-    found = [np.zeros(0, np.int64)] * 3
+    w = a = b = np.zeros(0, np.int64)
     if len(ask) and len(chosen) > 1:
         index = FMIndex(text, low[spread], high[spread], length + 1)
         w, a, b = repeats(index, text, begin[ask], begin[ask] + count[ask], low[ask], length, later)
         w = ask[w]
-        found = [chosen[w], a - begin[w], b - begin[w]]
-    full = np.flatnonzero(doc > low[kind]) if later else np.flatnonzero((low != high)[kind])
-    which = np.concatenate([found[0], full])
-    a = np.concatenate([found[1], np.zeros(len(full), np.int64)])
-    b = np.concatenate([found[2], words.count[full]])
+        a, b = a - begin[w], b - begin[w]
+    which = chosen[w]
     chars = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-    base = rows["char"].to_numpy()[which] - chars[offs[which]]
     lo, hi = words.start[words.of[which] + a], words.end[words.of[which] + b - 1]
-    first = rows["word"].to_numpy()[which]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[doc[which]], first + a, first + b, base + chars[lo], base + chars[hi])], names=["doc_id", "start_word", "end_word", "start_char", "end_char"])
+    base = chars[offs[which]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (code[which], whole[which], ids[low[w]], a, b, chars[lo] - base, chars[hi] - base)], names=["h", "w", "doc_id", "a", "b", "x", "y"])
+
+
+def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows sorted by (h, w) with equal windows as one."""
+    h, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    if fresh.all():
+        return batch
+    begins = np.flatnonzero(fresh)
+    lo, hi = np.minimum.reduceat(batch.column(2).to_numpy(), begins), np.maximum.reduceat(batch.column(3).to_numpy(), begins)
+    at = pa.array(begins)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo), pa.array(hi), batch.column(4).take(at)], names=batch.schema.names)
 
 
 def shards(length: int, later: bool):
-    """Windows sorted by hash, in indexes of about SHARD words; the windows of one hash are never parted."""
+    """Windows (h, w, lo, hi, body) sorted by (h, w), in indexes of about SHARD words; the windows of one hash are never
+    parted. There are at most HOT of them but for equal ones, which are merged as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in map(merged, batches):
             at = 0
             code = batch.column(0).to_numpy()
             heavy = np.cumsum(batch.column(4).nbytes / max(1, batch.num_rows) / 6 * np.ones(batch.num_rows))
@@ -340,7 +437,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With `later` only in a document of a smaller identifier: cutting those leaves one copy of every passage.
     Words are parted by ASCII white space and compared byte for byte; the white space between is not. Ends are
     exclusive. The result is exact: every passage of `length` words holds its smallest GRAM, so two equal ones
-    meet in the shard of that gram's hash, and only hashes of two documents or more are moved there.
+    meet in the shard of that gram's hash, and only hashes of two documents or more are moved there. Equal windows are
+    moved once a batch, whoever has them. The stretches of a hash of more than HOT documents are not indexed in one
+    task but compared one by one, by 128-bit hashes of their words, with the same result.
 
     Null ids and null texts take no part; shorter and empty texts have no passages. Rows that repeat an identifier
     are one document, whose copies do not count as repeats of each other. Repeats within one document do not count.
@@ -349,12 +448,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(df.sparkSession)
     texts = clean(df, id_col, text_col)
     seen = written(texts.mapInArrow(anchor_hashes(length), "h bigint, doc_id bigint"), "anchors")
-    shared = written(seen.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "shared")
-    hot = written(matching(seen, shared, ["h"]).groupBy("doc_id").agg(F.collect_set("h").alias("hot")), "hot")
-    ids = hot.select("doc_id")
-    found = matching(texts, ids, ["doc_id"]).join(hot, "doc_id").mapInArrow(windows(length), "h bigint, doc_id bigint, word bigint, char bigint, body string")
-    kind = "doc_id bigint, start_word bigint, end_word bigint, start_char bigint, end_char bigint"
-    each = found.repartition("h").sortWithinPartitions("h").mapInArrow(shards(length, later), kind)
+    shared = seen.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > HOT).alias("hot"))
+    shared = written(shared, "shared")
+    listed = matching(seen, shared, ["h"], "inner").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("many"))
+    listed = written(listed, "hot")
+    found = written(matching(texts, listed, ["doc_id"], "inner").select("doc_id", "text", "few", "many").mapInArrow(windows(length), WINDOWS), "windows")
+    place = found.where("words > 0").select("h", "w", "doc_id", "word", "char", "words", "chars")
+    bodies = found.where("body is not null").select("h", "w", "lo", "hi", "body")
+    part = bodies.repartition("h").sortWithinPartitions("h", "w").mapInArrow(shards(length, later), MATCHES).join(place, ["h", "w", "doc_id"])
+    other = (lambda df: df.where("lo < hi" + " and doc_id > lo" * later)) if later else (lambda df: df)
+    several = lambda df: written(df.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "several")
+    whole = other(matching(place, several(place), ["h", "w"], "inner"))
+    lone = found.where("words = 0").select("h", "w", "doc_id", "word", "char", "chars")
+    hot = other(matching(lone, several(lone), ["h", "w"], "inner"))
+    reach = lambda a, b, x, y: ["doc_id", (F.col("word") + a).alias("start_word"), (F.col("word") + b).alias("end_word"), (F.col("char") + x).alias("start_char"), (F.col("char") + y).alias("end_char")]
+    each = part.select(*reach(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).unionByName(whole.select(*reach(F.lit(0), F.col("words"), F.lit(0), F.col("chars")))).unionByName(hot.select(*reach(F.lit(0), F.lit(length), F.lit(0), F.col("chars"))))
     # unions of overlapping or touching stretches
     by = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -75,10 +75,21 @@ def got(spark, rows, length, later=False):
     return {d: sorted(x) for d, x in out.items()}
 
 
-@pytest.mark.parametrize("seed,shard", [(0, 1 << 20), (1, 60), (2, 300), (3, 1)])
-def test_against_brute_force(spark, seed, shard, monkeypatch):
+def test_range_minima():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 8, 9, 100, 1000):
+        data = rng.integers(0, 50, n).astype(np.int32)
+        lo = rng.integers(0, n, 400)
+        hi = np.minimum(lo + rng.integers(1, n + 1, 400), n)
+        assert S.Minima(data).of(lo, hi).tolist() == [data[a:b].min() for a, b in zip(lo, hi)]
+        assert (-S.Minima(-data).of(lo, hi)).tolist() == [data[a:b].max() for a, b in zip(lo, hi)]
+
+
+@pytest.mark.parametrize("seed,shard,hot", [(0, 1 << 20, 4096), (1, 60, 4096), (2, 300, 6), (3, 1, 0)])
+def test_against_brute_force(spark, seed, shard, hot, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(S, "SHARD", shard)
+    monkeypatch.setattr(S, "HOT", hot)
     base = [[f"w{rng.randrange(6)}" for _ in range(rng.randrange(5, 60))] for _ in range(6)]
     rows = []
     for d in range(60):
@@ -104,3 +115,12 @@ def test_awkward(spark):
     twice = [(1, "a b c d e f"), (1, "a b c d e f"), (9, "k l m n")]
     assert got(spark, twice, 3) == {}
     assert got(spark, [], 3) == {}
+
+
+def test_a_passage_of_all_documents(spark, monkeypatch):
+    licence = " ".join(f"l{i}" for i in range(55))
+    rows = [(d, f"a{d} b{d} c{d} {licence} x{d} y{d}") for d in range(20_000)] + [(d, licence) for d in range(20_000, 40_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for later in (False, True):
+        got = S.repeated_passages(df, later=later)
+        assert {(r.start_word, r.end_word, r.own): r["count"] for r in got.withColumn("own", got.doc_id < 20_000).groupBy("start_word", "end_word", "own").count().collect()} == {(3, 58, True): 20_000 - later, (0, 55, False): 20_000}
