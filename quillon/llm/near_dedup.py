@@ -8,19 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from quillon.llm.common import U, clean, find_words, folded_hashes, matching, mix, pieces, small, without
+from quillon.llm.common import U, clean, find_words, folded_hashes, matching, mix, pieces, without
 from quillon.llm.components import components
 from quillon.session import prepare, table, written
 
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 48
 #: (k, least words, most words): short texts need short k-mers. A text is sketched for each class that a
 #: partner of its could be in.
 CLASSES = ((2, 1, 16), (3, 16, 64), (4, 64, 1 << 60))
-FAN = 256
+FAN = 256  # members of a bucket, or partners of a text, that meet in one task at once
 BAG = 128
+SLOTS = 1 << 16  # of the counts that words are ranked by
 
 
 def normal_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's smallest identifier with every other of a possible length."""
+    """The smallest identifier of each row's members with every other of a possible length."""
     for batch in batches:
         members = batch.column(0)
         flat = members.flatten()
@@ -204,27 +204,87 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs in a bucket that are in different groups and that neither lengths nor bags of words rule out."""
+    """Pairs (a, b) of a row's two lists of members (or of the one, where the other is null) that are in different groups
+    and that neither lengths nor bags of words rule out. Lists are of about FAN members."""
+
+    def columns(list_: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        flat = list_.values
+        bag = np.frombuffer(b"".join(flat.field("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+        return *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "g")), bag
+
     for batch in batches:
-        for row in batch.column(0):
-            flat = row.values
-            ids, n, group = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "g"))
-            bag = np.frombuffer(b"".join(flat.field("bag").to_pylist()), np.uint8).reshape(-1, BAG)
-            order = np.argsort(n, kind="stable")
-            ids, n, group, bag = ids[order], n[order], group[order], bag[order]
-            upto = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right")
-            step = max(1, (1 << 17) // len(ids))
-            for i in range(0, len(ids), step):
-                some = np.arange(i, min(i + step, len(ids)))
-                count = upto[some] - some - 1
-                left = np.repeat(some, count)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-                apart = group[left] != group[right]
-                left, right = left[apart], right[apart]
-                near = least_distance(bag[left], bag[right]) <= (1 - SIMILARITY) * n[right] + 1e-9
-                left, right = left[near], right[near]
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], names=["a", "b"])
+        for one, two in zip(batch.column(0), batch.column(1)):
+            ids, n, group, bag = columns(one)
+            if two.is_valid:
+                ids2, n2, group2, bag2 = columns(two)
+                left, right = (x.ravel() for x in np.meshgrid(np.arange(len(ids)), np.arange(len(ids2)), indexing="ij"))
+            else:
+                ids2, n2, group2, bag2 = ids, n, group, bag
+                left, right = np.triu_indices(len(ids), 1)
+            small_, large = np.minimum(n[left], n2[right]), np.maximum(n[left], n2[right])
+            apart = (group[left] != group2[right]) & (small_ >= SIMILARITY * large - 1e-9)
+            left, right, large = left[apart], right[apart], large[apart]
+            for i in range(0, len(left), 1 << 14):
+                x, y = left[i : i + (1 << 14)], right[i : i + (1 << 14)]
+                near = least_distance(bag[x], bag2[y]) <= (1 - SIMILARITY) * large[i : i + (1 << 14)] + 1e-9
+                x, y = ids[x[near]], ids2[y[near]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each text's words with the numbers of their earlier occurrences as hashes: sets that overlap as the bags of words do."""
+    for batch, buf, offs in pieces(batches):
+        codes, of = normal_words(buf, offs)
+        row = np.repeat(np.arange(len(of) - 1), np.diff(of)).astype(np.uint64)
+        yield batch, mix(codes + occurrences(codes ^ mix(row + U(1))).astype(np.uint64) * U(0xD6E8FEB86659FD93)), of
+
+
+def word_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for _, items, _ in labelled(batches):
+        total += np.bincount((items % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def rare_words(texts: DataFrame) -> DataFrame:
+    """(doc_id, item): of each text the rarest of its labelled words, so many that two texts of the least SIMILARITY have
+    one in common: they share SIMILARITY of the longer one's words, so not all of the first 1 - SIMILARITY can be missing,
+    in an order that is the same for all. The order is by counts of hashed words, rarest first: SLOTS numbers."""
+    counts = np.zeros(SLOTS, np.int64)
+    for r in texts.mapInArrow(word_slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        counts[r.slot] = r.n
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, items, of in labelled(batches):
+            n = np.diff(of)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((items, shared.value[(items % U(SLOTS)).astype(np.int64)], row))
+            inside = np.arange(len(items)) - np.repeat(of[:-1], n)
+            first = order[inside < (n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1)[row]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(items[first].view(np.int64))], names=["doc_id", "item"])
+
+    return texts.mapInArrow(run, "doc_id bigint, item bigint").distinct()
+
+
+def salted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with `salt`, which parts the rows of one key by a hash of doc_id where they are more than FAN, and `salts`, how many there are."""
+    large = written(rows.groupBy(*keys).agg(F.ceil(F.count("*") / FAN).alias("salts")).where("salts > 1"), "large")
+    out = matching(rows, large, list(keys), "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("bigint")))
+    return out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+
+
+def crossed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Candidate pairs of rows (keys, doc_id, n, g, bag) that share the keys, block by block."""
+    blocks = salted(rows, *keys).groupBy(*keys, "salt", "salts").agg(F.collect_list(F.struct("doc_id", "n", "g", "bag")).alias("one"))
+    blocks = written(blocks, "blocks")
+    own = blocks.where("size(one) > 1").select("one", F.lit(None).cast(blocks.schema["one"].dataType).alias("two"))
+    many = blocks.where("salts > 1")
+    other = many.select(*keys, F.col("salt").alias("more"), F.col("one").alias("two"))
+    both = many.join(other, list(keys)).where("salt < more").select("one", "two")
+    return own.unionByName(both).mapInArrow(crossings, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,8 +292,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     partners is copied to one task per FAN of them."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     mine = matching(texts, ids, ["doc_id"])
-    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / FAN)))
-    spread = written(spread, "spread")
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("salts")).where("salts > 1"), "many")
+    spread = written(matching(pairs, many, ["a"], "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("bigint"))).alias("salt")), "spread")
     right = spread.join(mine.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
     left = spread.select("a", "salt").distinct().join(mine.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
 
@@ -259,10 +319,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are sequences of lower-case words without punctuation. Two are near duplicates where their edit
     distance is at most 1 - SIMILARITY of the longer one; groups are connected components. Candidates share an
-    Order MinHash sketch. Equal word sequences are grouped first. Then each bucket's smallest member is aligned
-    with the others, and after grouping, every pair of a bucket that is still in different groups and that a
-    lower bound on the distance, from counts of words, does not rule out. So no bucket is cut, a bucket of
-    thousands of copies costs thousands of alignments, and a line that thousands share costs none.
+    Order MinHash sketch: of SKETCHES orders of the labelled k-mers, the two least in the order of the text. Equal word
+    sequences are grouped first. Then each bucket's smallest member is aligned with the others, in parts of
+    about FAN members and then among the parts' smallest, and after grouping, every pair of a bucket that is still in
+    different groups and that a lower bound on the distance, from counts of words, does not rule out. In buckets of
+    more than FAN such pairs must have one of their rarest words in common too, which similar texts have. So no bucket is
+    cut or held in one row, a bucket of thousands of copies costs thousands of alignments, and a line that thousands
+    share costs none.
 
     Null ids, null texts and texts without words take no part. Rows that repeat an identifier are one document,
     never copies of themselves. An empty table gives no rows. Other columns are not read.
@@ -271,19 +334,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = clean(df, id_col, text_col)
     # an identifier in several classes or rows has several rows here
     made = written(texts.mapInArrow(sketches, "doc_id bigint, n int, p1 bigint, p2 bigint, bag binary, keys array<bigint>"), "sketches")
-    same = written(made.select("doc_id", F.min("doc_id").over(Window.partitionBy("p1", "p2")).alias("low")).where("doc_id <> low").distinct(), "same")
-    singles = matching(made, same.select("doc_id").distinct(), ["doc_id"], "left_anti")
-    buckets = written(
-        singles.select("doc_id", "n", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set(F.struct("doc_id", "n")).alias("members")).where("size(members) > 1"), "buckets"
-    )
-    first = written(buckets.select("members").mapInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    low = written(made.groupBy("p1", "p2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("p1", "p2", "low"), "low")
+    same = written(matching(made.select("doc_id", "p1", "p2"), low, ["p1", "p2"], "inner").where("doc_id <> low").select("doc_id", "low").distinct(), "same")
+    singles = matching(made, written(same.select("doc_id").distinct(), "copies"), ["doc_id"], "left_anti").select("doc_id", "n", F.explode("keys").alias("key"))
+    rows = written(matching(singles, written(singles.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "keys"), ["key"]).distinct(), "rows")
+    buckets = written(salted(rows, "key").groupBy("key", "salt", "salts").agg(F.collect_list(F.struct("doc_id", "n")).alias("members")), "buckets")
+    # each part of a bucket around its smallest member, and those around the smallest of all
+    centres = buckets.where("salts > 1").select("key", F.array_min("members").alias("m")).groupBy("key", F.pmod(F.xxhash64("m.doc_id"), F.lit(FAN))).agg(F.collect_list("m").alias("members"))
+    centres = written(centres.select("key", "members"), "centres")
+    tops = centres.select("key", F.array_min("members").alias("m")).groupBy("key").agg(F.collect_list("m").alias("members"))
+    hubs = buckets.select("members").unionByName(centres.select("members")).unionByName(tops.select("members"))
+    first = written(hubs.where("size(members) > 1").mapInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
     edges = written(verified(first, texts), "edges")
     groups = components(edges)
-    member = buckets.select("key", F.inline("members")).join(F.broadcast(groups) if small(groups) else groups, "doc_id", "left").withColumn("g", F.coalesce("group_id", "doc_id")).drop("group_id")
-    split = written(member.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key"), "split")
+    member = matching(rows, written(groups, "groups"), ["doc_id"], "left").select("key", "doc_id", "n", F.coalesce("group_id", "doc_id").alias("g"))
+    split = written(member.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), (F.count("*") > FAN).alias("large")).where("lo < hi").select("key", "large"), "split")
     bag = made.groupBy("doc_id").agg(F.min(F.struct("n", "bag")).alias("x")).select("doc_id", "x.n", "x.bag")
-    full = matching(member, split, ["key"]).join(bag, ["doc_id", "n"]).groupBy("key").agg(F.collect_list(F.struct("doc_id", "n", "g", "bag")).alias("members"))
-    second = written(full.select("members").mapInArrow(crossings, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    full = written(matching(member, split, ["key"], "inner").join(bag, ["doc_id", "n"]), "full")
+    few = crossed(full.where("not large").drop("large"), "key")
+    hot = full.where("large").drop("large")
+    if hot.limit(1).count():  # of large buckets, only members that have a rare word in common
+        own = written(hot.select("doc_id").distinct(), "hot")
+        few = few.unionByName(crossed(hot.join(written(rare_words(matching(texts, own, ["doc_id"])), "rare"), "doc_id"), "key", "item")).distinct()
+    second = written(few.join(first, ["a", "b"], "left_anti"), "pairs")
     more = verified(second, texts)
     every = edges.unionByName(more).unionByName(same.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     return components(every).select("doc_id", F.col("group_id").alias("kept_doc_id"))

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quillon.llm import near_dedup as N
 from quillon.llm.common import flat, find_words, fold, folded_hashes, word_hashes
 from quillon.llm.components import components
 from quillon.llm.near_dedup import alike, bags, banded_distance, least_distance, near_duplicates, normal_words, occurrences
@@ -92,10 +94,7 @@ def corpus(seed=3):
     return rows
 
 
-def test_near_duplicates_against_brute_force(spark):
-    rows = corpus()
-    import pyarrow as pa
-
+def brute(rows):
     codes, of = normal_words(*flat(pa.array([t for _, t in rows])))
     seq = [codes[of[i] : of[i + 1]] for i in range(len(rows))]
     parent = list(range(len(rows)))
@@ -110,12 +109,56 @@ def test_near_duplicates_against_brute_force(spark):
             if alike(seq[i], seq[j]):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    want = {(i, find(i)) for i in range(len(rows)) if find(i) != i}
+    return {(i, find(i)) for i in range(len(rows)) if find(i) != i}
+
+
+@pytest.mark.parametrize("fan", [256, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, fan):
+    monkeypatch.setattr(N, "FAN", fan)
+    rows = corpus()
+    want = brute(rows)
     got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {i for i, _ in got} <= {i for i, _ in want}
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_pairs_near_the_bound_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for n in (64, 120, 200, 300, 400) * 24:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        other = list(base)
+        for at in rng.sample(range(n), int(n * rng.uniform(0.1, 0.19))):
+            other[at] = rng.choice(vocabulary)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {(i + 1, i) for i in range(0, len(rows), 2)}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_rare_words_meet_in_similar_texts(spark):
+    rows = corpus(5)
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rare = {}
+    for r in N.rare_words(texts).collect():
+        rare.setdefault(r.doc_id, set()).add(r["item"])
+    codes, of = normal_words(*flat(pa.array([t for _, t in rows])))
+    seq = [codes[a:b] for a, b in zip(of, of[1:])]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(seq[i], seq[j])]
+    assert pairs and all(rare[i] & rare[j] for i, j in pairs)
+
+
+def test_a_line_that_all_share_and_copies_of_one_text(spark):
+    line = " ".join(f"l{i}" for i in range(40))
+    many = spark.range(20_000)
+    shared = many.selectExpr("id as doc_id", f"concat('{line} ', array_join(transform(sequence(1, 24), i -> concat('u', id, '_', i)), ' ')) as text")
+    near = many.selectExpr("id + 100000 as doc_id", f"concat('{line.replace('l', 'm')} {line.replace('l', 'n')} v', id) as text")
+    same = many.selectExpr("id + 200000 as doc_id", f"'{line.replace('l', 'k')}' as text")
+    got = near_duplicates(shared.unionByName(near).unionByName(same))
+    assert sorted((r.kept_doc_id, r["count"]) for r in got.groupBy("kept_doc_id").count().collect()) == [(100_000, 19_999), (200_000, 19_999)]
+
+
 def test_near_duplicates_awkward(spark):
     rows = [(1, "a b c d e f g h i j"), (4, "A, b c d e f g h i j."), (4, "A, b c d e f g h i j."), (None, "a b c d e f g h i j"), (5, None), (6, ""), (7, " | "), (8, "|"), (9, "one"), (10, "one"), (11, "two"), (12, "z " * 30000), (13, "z " * 30000 + "y")]
     df = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f") for i, t in rows], SCHEMA)
