@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from quillon.session import prepare, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 AHEAD = 2  # characters after a part of PATTERN that can decide on it, but for white space, which looks for its end
-LEAF = 96  # characters whose parts are found without a join
+LEAF = 192  # characters whose parts are found without a join
 PART = 24  # bytes of a part that are merged without a join
 WINDOW = 4  # tokens on either side of a seam that are encoded again at first
-KEPT = 1 << 17  # parts and pairs that a worker remembers
+KEPT = 1 << 18  # parts and pairs that a worker remembers
 
 
 class Codec:
@@ -37,7 +38,7 @@ class Codec:
     def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bytes = {rank: piece for piece, rank in self.ranks.items()}
-        self.find = regex.compile(pattern).match
+        self.find, self.find_all = regex.compile(pattern).match, regex.compile(pattern).findall
         self.parts: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -118,10 +119,34 @@ class Codec:
             if not near:
                 j = min(len(right), 4 * j)
 
+    def spelled(self, data: bytes) -> tuple[int, ...]:
+        """Tokens of a few bytes: those pieces that spell them of which each two neighbours are stable. A prefix has one
+        such spelling alone, so a place from which none goes on is never tried again."""
+        n, rank, known = len(data), self.ranks.get, self.pairs.get
+        out: list[int] = []
+        begins: list[int] = []
+        at, size, last, dead = 0, n, -1, 0
+        while at < n:
+            while size:
+                if not dead >> at + size & 1 and (token := rank(data[at : at + size])) is not None and (last < 0 or (known((last, token)) if (last, token) in self.pairs else self.stable(last, token))):
+                    break
+                size -= 1
+            if size:
+                out.append(token)
+                begins.append(at)
+                at, last = at + size, token
+                size = n - at
+            else:
+                dead |= 1 << at
+                end, at = at, begins.pop()
+                out.pop()
+                size, last = end - at - 1, out[-1] if out else -1
+        return tuple(out)
+
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Tokens of the bytes of one part, its halves encoded recursively."""
         if len(data) <= PART:
-            return self.merged(data)
+            return self.spelled(data)
         middle = len(data) // 2
         return self.join_tokens(self.encode_bytes(data[:middle]), self.encode_bytes(data[middle:]))
 
@@ -139,15 +164,10 @@ class Codec:
 
     def leaf(self, text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, ...]]]:
         """(ends, tokens) of the parts of text[lo : hi] as a text of its own."""
-        ends, tokens = [], []
-        find, known, part = self.find, self.parts.get, self.part
-        while lo < hi:
-            end = find(text, lo, hi).end()
-            own = text[lo:end]
-            tokens.append(known(own) or part(own))
-            ends.append(end)
-            lo = end
-        return ends, tokens
+        known, part = self.parts.get, self.part
+        parts = self.find_all(text, lo, hi)
+        ends = list(accumulate(map(len, parts), initial=lo))
+        return ends[1:], [known(own) or part(own) for own in parts]
 
     def tree(self, text: str, lo: int, hi: int, leaf: int) -> tuple[list[int], list[tuple[int, ...]]]:
         if hi - lo <= leaf:
@@ -195,7 +215,7 @@ class Codec:
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
         """Token ids of text: its halves are encoded on their own, recursively, and joined."""
-        return [t for own in self.tree(text, 0, len(text), leaf)[1] for t in own]
+        return list(chain.from_iterable(self.tree(text, 0, len(text), leaf)[1]))
 
     def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
         """Bytes of the ids: those of the halves, joined up the tree."""
@@ -240,15 +260,14 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids, sums = [], []
-                for text in batch.column(1):
-                    text = text.as_py()
+                for text in batch.column(1).to_pylist():
                     made = None if text is None else own.encode(text)
                     ids.append(made)
                     sums.append(None if made is None else hashlib.md5(own.decode(made)).hexdigest())
                 void = np.array([x is None for x in ids])
                 sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
                 offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(void, False))
-                flat = np.fromiter((t for x in ids if x is not None for t in x), np.int32, int(sizes.sum()))
+                flat = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.int32, int(sizes.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, mask=void), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(sums, pa.string())], names=["doc_id", "n_tokens", "tokens", "decoded_md5"])
 
     base = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -71,7 +71,7 @@ def test_monoid_laws_of_tokens():
         a, b, c = (bytes(rng.choice(b"abehst" if rng.random() < 0.7 else b"a\xe6\x97\xa5") for _ in range(rng.randrange(0, 60))) for _ in range(3))
         x, y, z = map(own.merged, (a, b, c)) if a and b and c else (own.merged(a) if a else (), own.merged(b) if b else (), own.merged(c) if c else ())
         left, right = own.join_tokens(own.join_tokens(x, y), z), own.join_tokens(x, own.join_tokens(y, z))
-        assert left == right and (not a + b + c or left == own.merged(a + b + c) == own.merged_by_heap(a + b + c) == own.encode_bytes(a + b + c))
+        assert left == right and (not a + b + c or left == own.merged(a + b + c) == own.merged_by_heap(a + b + c) == own.encode_bytes(a + b + c) == own.spelled(a + b + c))
 
 
 def test_every_piece_is_its_own_encoding():
