@@ -15,69 +15,122 @@ from pyspark.sql import functions as F
 from quillon.llm.common import U, find_words, folded_hashes, mix, pieces
 from quillon.session import prepare, table, written
 
-CLASSES = MEMBERS = 32
-OWN = 768  # the most frequent hashed words have an id each; the others share the rest
-BITS = 14  # a weight table has at least 2**BITS rows
-LOAD = 64  # distinct contexts of the corpus to a row of a weight table
+WAYS = 16  # classes of a class
+CONTEXT = 3  # levels of classes that the context is asked for; deeper ones go by the corpus counts
+OWN = 1 << 18  # most frequent words that have leaves of their own
+BITS = 14  # the weight table has at least 2**BITS rows
+MOST = 1 << 21  # and at most so many: 128 MB a worker
+CONTEXTS = 1 << 14  # distinct contexts that 2**BITS rows are for; rows follow the root of their number
 SKETCH = 1024  # least hashes that the number of distinct contexts is told from
 HELD = 1 << 20  # distinct words that a counting task holds
 COMMON = 4_000_000  # words whose counts are broadcast
 SPREAD = 2  # training tasks to a core: each sends a whole table, so their number must not grow with the corpus
+FAN = 64  # tasks whose changes of a block are added up at once
 BATCH = 8192
 PART = 1 << 20  # bytes of text at a time, as tasks hold tables beside it
-RATE = 0.25
-ROUNDS = 1
+RATE = 0.08
+ROUNDS = 2
 BLOCK = 256
 HISTORY = 3
+NOTHING = -30.0  # logit of a class without words
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+# ------------------------------------------------------------------------------------------------------------- classes
+
+
+@dataclass
+class Tree:
+    """Words as leaves of nested classes, WAYS to a class, so that each class's words are about as frequent as the next one's:
+    a frequent word is near the root. codes: sorted hashes; the word after the last stands for all others, `rest` occurrences.
+    A word takes digit[level, word] of class node[level, word] at each level below depth[word]. prior[node]: logarithms
+    of the classes' shares of the corpus."""
+
+    codes: np.ndarray
+    depth: np.ndarray
+    digit: np.ndarray
+    node: np.ndarray
+    prior: np.ndarray
+    rest: int
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Leaf of each word."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, len(self.codes))
+
+
+def grow(codes: np.ndarray, counts: np.ndarray, rest: int) -> Tree:
+    """Tree of words (sorted hashes) with their counts, and of the rest."""
+    counts = np.append(counts, rest + 1).astype(np.float64)
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    mass = counts[order]
+    upto = np.append(0.0, np.cumsum(mass))
+    depth = np.zeros(len(counts), np.uint8)
+    digits, nodes, priors = [], [], []
+    group = np.zeros(len(counts), np.int64)  # of the words in order; -1 where a word is alone
+    made = 0
+    while (group >= 0).any():
+        live = np.flatnonzero(group >= 0)
+        first = live[np.append(True, group[live][1:] != group[live][:-1])]
+        which = np.cumsum(np.append(True, group[live][1:] != group[live][:-1])) - 1
+        size = np.diff(np.append(np.flatnonzero(np.append(True, group[live][1:] != group[live][:-1])), len(live)))
+        low, whole = upto[first], upto[first + size] - upto[first]
+        place = ((upto[live] + mass[live] / 2) - low[which]) / whole[which]
+        own = np.minimum((place * WAYS).astype(np.int64), WAYS - 1)
+        level_digit, level_node = np.zeros(len(counts), np.uint8), np.zeros(len(counts), np.int32)
+        level_digit[order[live]], level_node[order[live]] = own, made + which
+        digits.append(level_digit)
+        nodes.append(level_node)
+        depth[order[live]] += 1
+        share = np.bincount(which * WAYS + own, mass[live], len(first) * WAYS).reshape(-1, WAYS)
+        priors.append(np.where(share > 0, np.log(np.maximum(share, 1e-300) / whole[:, None]), NOTHING))
+        many = np.bincount(which * WAYS + own, minlength=len(first) * WAYS)[which * WAYS + own]
+        group[live] = np.where(many > 1, which * WAYS + own, -1)
+        made += len(first)
+    return Tree(codes, depth, np.array(digits), np.array(nodes), np.concatenate(priors).astype(np.float32), rest)
+
+
+# --------------------------------------------------------------------------------------------------------------- model
+
+
 @dataclass
 class Model:
-    """ids[top 16 bits of a word's hash]: class * MEMBERS + member. weights[0]: rows of class logits, the first for the
-    bias; weights[1]: rows of member logits, one first for each class's bias. The others are hashed features. Where
-    weights is empty, the files of a written table have the blocks of `size` rows a table, for tasks to read."""
+    """weights: rows of logits of the WAYS classes of a class, each for a hash of a class and a feature of the context.
+    Where weights is None, the files of a written table have the blocks, for tasks to read."""
 
-    ids: np.ndarray
-    weights: list[np.ndarray]
+    tree: Tree
+    weights: np.ndarray | None
     size: int = 1 << BITS
     files: tuple[str, ...] = ()
 
     def loaded(self) -> Model:
         """The model with its weights in memory; a worker keeps those it read last."""
-        if self.weights or not self.files:
-            return self if self.weights else fresh(self.ids, self.size)
+        if self.weights is not None:
+            return self
         if self.files not in _read:
             _read.clear()
-            weights = fresh(self.ids, self.size).weights
-            for file in self.files:
-                system, path = fs.FileSystem.from_uri(file)
-                blocks = pq.read_table(path, filesystem=system)
-                for block, body in zip(blocks["block"].to_pylist(), blocks["total"]):
-                    k, b = divmod(block, self.size // BLOCK)
-                    weights[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(body.as_buffer(), np.float32).reshape(BLOCK, -1)
+            weights = np.zeros((self.size, WAYS), np.float32)
+            for block, body in self.blocks():
+                weights[block * BLOCK : (block + 1) * BLOCK] = body
             _read[self.files] = weights
-        return Model(self.ids, _read[self.files], self.size, self.files)
+        return Model(self.tree, _read[self.files], self.size, self.files)
 
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for file in self.files:
+            system, path = fs.FileSystem.from_uri(file)
+            blocks = pq.read_table(path, filesystem=system)
+            for block, body in zip(blocks["block"].to_pylist(), blocks["total"]):
+                yield block, np.frombuffer(body.as_buffer(), np.float32).reshape(BLOCK, WAYS)
 
-_read: dict[tuple[str, ...], list[np.ndarray]] = {}
 
-
-def fresh(ids: np.ndarray, size: int = 1 << BITS) -> Model:
-    return Model(ids, [np.zeros((size, CLASSES), np.float32), np.zeros((size, MEMBERS), np.float32)], size)
+_read: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def table_size(contexts: float) -> int:
-    """Rows of a weight table (whole blocks) for so many distinct contexts."""
-    return max(1 << BITS, -(-int(contexts / LOAD) // BLOCK) * BLOCK)
-
-
-def vocabulary(counts: np.ndarray) -> np.ndarray:
-    """Ids by falling count of the 65,536 hashed words; those after the first OWN share the other ids in turn."""
-    rank = np.empty(len(counts), np.int64)
-    rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
-    shared = CLASSES * MEMBERS - OWN
-    return np.where(rank < OWN, rank, OWN + (rank - OWN) % shared).astype(np.int16)
+    """Rows of the weight table (whole blocks) for so many distinct contexts."""
+    return min(MOST, max(1 << BITS, -(-int((1 << BITS) * (contexts / CONTEXTS) ** 0.5) // BLOCK) * BLOCK))
 
 
 def features(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -94,95 +147,90 @@ def features(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def rows_of(hashes: np.ndarray, kind: np.ndarray | None = None, size: int = 1 << BITS) -> np.ndarray:
-    """Weight rows of features, of class tables or, given each word's class, of member tables."""
-    small = np.uint16 if size <= 1 << 16 else np.uint32
-    if kind is None:
-        return (1 + (hashes >> U(20)) % U(size - 1)).astype(small)
-    return (CLASSES + (mix(hashes + (kind.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size - CLASSES)).astype(small)
+def rows_of(hashes: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    """[HISTORY, words]: weight rows of each word's features in a class."""
+    return ((mix(hashes + (node.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size)).astype(np.uint32)
 
 
-def softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Probabilities given each position's active weight rows (a sparse row of ones)."""
-    p = np.take(weights, rows[0], axis=0, mode="clip")
+def softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities given each position's prior logits and its active weight rows (a sparse row of ones)."""
+    p = prior.copy()
     more = np.empty_like(p)
-    for r in rows[1:]:
+    for r in rows:
         p += np.take(weights, r, axis=0, mode="clip", out=more)
-    np.clip(p, -30, 30, out=p)
+    np.clip(p, -60, 30, out=p)
     np.exp(p, out=p)
     p *= 1.0 / (p @ np.ones((p.shape[1], 1), p.dtype))
     return p
 
 
-def active(found: np.ndarray, kind: np.ndarray, size: int = 1 << BITS) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Active rows of the class table and, given each word's class, of the member table; biases first."""
-    return [np.zeros(len(kind), np.uint16), *(rows_of(f, size=size) for f in found)], [kind.astype(np.uint16), *(rows_of(f, kind, size) for f in found)]
-
-
-def chosen(p: np.ndarray, target: np.ndarray) -> np.ndarray:
-    return p[np.arange(len(target)), target]
-
-
-def log_probs(model: Model, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """log P(class | context) + log P(member | class, context) of each word."""
-    out = np.empty(len(codes), np.float64)
-    found = features(codes, of)
-    ids = model.ids[(codes >> U(48)).astype(np.int64)].astype(np.int64)
-    kind, member = ids // MEMBERS, ids % MEMBERS
+def log_probs(model: Model, codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P(leaf | context) of each word, the sum over its classes' levels, and which leaf it is."""
+    tree, found, leaf = model.tree, features(codes, of), model.tree.find(codes)
+    out = np.zeros(len(codes), np.float64)
     for i in range(0, len(codes), BATCH):
-        s = slice(i, i + BATCH)
-        first, second = active(found[:, s], kind[s], model.size)
-        c, m = softmax(model.weights[0], first), softmax(model.weights[1], second)
-        out[s] = np.log(np.maximum(chosen(c, kind[s]), 1e-30)) + np.log(np.maximum(chosen(m, member[s]), 1e-30))
-    return out
+        own = leaf[i : i + BATCH]
+        for level in range(len(tree.digit)):
+            at = np.flatnonzero(tree.depth[own] > level)
+            if not len(at):
+                break
+            node, digit = tree.node[level][own[at]], tree.digit[level][own[at]]
+            if level < CONTEXT:
+                p = softmax(tree.prior[node], model.weights, rows_of(found[:, i + at], node, model.size))
+                out[i + at] += np.log(np.maximum(p[np.arange(len(at)), digit], 1e-30))
+            else:
+                out[i + at] += tree.prior[node, digit]
+    return out, leaf
 
 
 class Trainer:
     """Gradient steps on one task's part of the corpus, from given weights, with a step size per row."""
 
     def __init__(self, model: Model):
-        self.start = model
-        self.weights = [w.copy() for w in model.weights]
-        self.squares = [np.full(len(w), 1e-6, np.float32) for w in model.weights]
-        self.seen = [np.zeros(len(w), np.float32) for w in model.weights]  # words that touched each row
-
-    def step(self, k: int, rows: list[np.ndarray], target: np.ndarray) -> None:
-        weights, squares = self.weights[k], self.squares[k]
-        p = softmax(weights, rows)
+        self.model = model
+        loaded = model.loaded()
+        self.tree, self.size = model.tree, model.size
+        self.weights = loaded.weights.copy() if model.weights is not None or model.files else np.zeros((model.size, WAYS), np.float32)
+        self.squares = np.full(model.size, 1e-6, np.float32)
+        self.seen = np.zeros(model.size, np.float32)  # words that touched each row
+
+    def step(self, prior: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+        weights, squares = self.weights, self.squares
+        p = softmax(prior, weights, rows)
         p[np.arange(len(target)), target] -= 1.0  # gradient of the negative log-likelihood by the logits
-        for r in rows:
-            order = np.argsort(r, kind="stable" if r.dtype == np.uint16 else None)
-            there = r[order]
-            first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-            gradient = np.add.reduceat(np.take(p, order, axis=0, mode="clip"), first, axis=0)
-            own = there[first]
-            self.seen[k][own] += np.diff(first, append=len(there))
-            size = squares[own] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
-            squares[own] = size
-            gradient *= (-RATE / np.sqrt(size))[:, None]
-            gradient += np.take(weights, own, axis=0, mode="clip")
-            weights[own] = gradient
+        flat = rows.ravel()
+        order = np.argsort(flat)
+        there = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+        gradient = np.add.reduceat(np.take(p, order % len(target), axis=0, mode="clip"), first, axis=0)
+        own = there[first]
+        self.seen[own] += np.diff(first, append=len(there))
+        size = squares[own] + np.einsum("ij,ij->i", gradient, gradient) / WAYS
+        squares[own] = size
+        gradient *= (-RATE / np.sqrt(size))[:, None]
+        gradient += np.take(weights, own, axis=0, mode="clip")
+        weights[own] = gradient
 
     def learn(self, codes: np.ndarray, of: np.ndarray) -> None:
-        found = features(codes, of)
-        ids = self.start.ids[(codes >> U(48)).astype(np.int64)].astype(np.int64)
-        kind, member = ids // MEMBERS, ids % MEMBERS
+        tree, found, leaf = self.tree, features(codes, of), self.tree.find(codes)
         for i in range(0, len(codes), BATCH):
-            s = slice(i, i + BATCH)
-            first, second = active(found[:, s], kind[s], self.start.size)
-            self.step(0, first, kind[s])
-            self.step(1, second, member[s])
-
-    def deltas(self) -> Iterator[pa.RecordBatch]:
+            own = leaf[i : i + BATCH]
+            for level in range(min(CONTEXT, len(tree.digit))):
+                at = np.flatnonzero(tree.depth[own] > level)
+                if len(at):
+                    node = tree.node[level][own[at]]
+                    self.step(tree.prior[node], rows_of(found[:, i + at], node, self.size), tree.digit[level][own[at]].astype(np.int64))
+
+    def deltas(self, task: int) -> Iterator[pa.RecordBatch]:
         """What the steps have changed and how many words touched each row, in blocks of BLOCK rows."""
-        for k, (new, old, seen) in enumerate(zip(self.weights, self.start.weights, self.seen)):
-            count = seen.reshape(-1, BLOCK)
-            some = np.flatnonzero(count.any(1))
-            for part in np.array_split(some, -(-len(some) // 256) or 1):
-                rows = [slice(b * BLOCK, (b + 1) * BLOCK) for b in part.tolist()]
-                bodies = [(new[r] - old[r]).astype(np.float16).tobytes() for r in rows]
-                columns = [pa.array(k * len(count) + part, pa.int32()), pa.array([count[b].tobytes() for b in part.tolist()], pa.binary()), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "delta"])
+        start = self.model.loaded().weights if self.model.files or self.model.weights is not None else None
+        count = self.seen.reshape(-1, BLOCK)
+        some = np.flatnonzero(count.any(1))
+        for part in np.array_split(some, -(-len(some) // 256) or 1):
+            rows = [slice(b * BLOCK, (b + 1) * BLOCK) for b in part.tolist()]
+            bodies = [(self.weights[r] - (0 if start is None else start[r])).astype(np.float16).tobytes() for r in rows]
+            columns = [pa.array(part, pa.int32()), pa.array(np.full(len(part), task % FAN), pa.int32()), pa.array([count[b].tobytes() for b in part.tolist()], pa.binary()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "salt", "n", "delta"])
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,75 +276,106 @@ def count(df: DataFrame, text_col: str = "text") -> DataFrame:
     return written(texts.mapInArrow(count_words, "context boolean, code bigint, n bigint").groupBy("context", "code").agg(F.sum("n").alias("n")), "counted")
 
 
-def hash_counts(counted: DataFrame) -> np.ndarray:
-    """Words by the top 16 bits of their hash."""
-    counts = np.zeros(1 << 16, np.int64)
-    for r in counted.where("not context").groupBy(F.shiftrightunsigned("code", 48).alias("w")).agg(F.sum("n").alias("n")).collect():
-        counts[r.w] = r.n
-    return counts
-
-
 def contexts(low: np.ndarray) -> float:
     """Number of distinct contexts of which these are the least SKETCH hashes (of 63 bits)."""
     return len(low) if len(low) < SKETCH else (SKETCH - 1) / (float(low.max()) / 2.0**63)
 
 
-def add_up(rows: pa.Table) -> pa.Table:
-    """Changes of each row of a block, averaged over the words that touched it."""
+def bound_of(words: DataFrame, most: int) -> int:
+    """The least power of two, 2 or more, that at most `most` words occur so often."""
+    power = F.length(F.bin("n")) - 1  # n >= 2 ** power
+    by = sorted(((r.power, r.n) for r in words.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    bound, so_far = max((p for p, _ in by), default=0) + 1, 0
+    for p, n in by:
+        so_far += n
+        if p < 1 or so_far > most:
+            break
+        bound = p
+    return 1 << bound
+
+
+def arrays(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words, and their counts; of a checked number."""
+    known = words.select("code", "n").toArrow()
+    codes, n = known["code"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def weighted(rows: pa.Table, by_salt: bool) -> pa.Table:
+    """Changes of each row of a block, averaged over the words that touched it, with the number of those."""
     total = n = None
     for body, seen in zip(rows["delta"], rows["n"]):
-        count = np.frombuffer(seen.as_buffer(), np.float32).astype(np.float64)
-        part = np.frombuffer(body.as_buffer(), np.float16).astype(np.float64).reshape(BLOCK, -1) * count[:, None]
-        total, n = (part, count) if total is None else (total + part, n + count)
-    return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "total": pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
+        own = np.frombuffer(seen.as_buffer(), np.float32).astype(np.float64)
+        part = np.frombuffer(body.as_buffer(), np.float16 if by_salt else np.float32).astype(np.float64).reshape(BLOCK, -1) * own[:, None]
+        total, n = (part, own) if total is None else (total + part, n + own)
+    mean = (total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()
+    if by_salt:
+        return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "n": pa.array([n.astype(np.float32).tobytes()], pa.binary()), "delta": pa.array([mean], pa.binary())})
+    return pa.table({"block": rows["block"].slice(0, 1).cast(pa.int32()), "total": pa.array([mean], pa.binary())})
+
+
+def add_up(parts: DataFrame) -> DataFrame:
+    """(block, total) of (block, salt, n, delta): first the changes of FAN-th tasks, then theirs, so that no task holds all."""
+    near = parts.groupBy("block", "salt").applyInArrow(lambda rows: weighted(rows, True), "block int, n binary, delta binary")
+    return near.groupBy("block").applyInArrow(lambda rows: weighted(rows, False), "block int, total binary")
+
+
+def plus(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(body.as_buffer(), np.float32) for body in rows["total"])
+    return pa.table({"block": rows["block"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None) -> Model | None:
+def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None, own: int = OWN) -> Model | None:
     """Model of all texts of df, of which counted is count(); None where they have no words.
 
-    Word counts are summed over all documents, and the weight tables get a row for LOAD distinct contexts of the
-    corpus. In each round every task makes gradient steps over its whole part of the corpus, and the changes of each
-    row are averaged over the words that touched it. The tables are written to the shared folder, where tasks read them.
+    Word counts are summed over all documents. The at most `own` most frequent words that occur twice or more are the leaves
+    of a tree of classes made from the counts; one leaf is for the rest. The weight table's rows follow the root of
+    the number of distinct contexts of the corpus, up to MOST. In each round every task makes gradient steps over its
+    whole part of the corpus, and the changes of each row are averaged over the words that touched it. The table is
+    written to the shared folder, where tasks read it.
+
+    Null and empty texts add nothing; repeated rows count each. Ties of counts go by the words' hashes. As tasks step
+    through their parts by themselves, weights depend on how the input is parted; the counts do not. Other columns
+    are not read.
     """
     spark = prepare(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text")).where("text is not null")
     counted = count(df, text_col) if counted is None else counted
-    counts = hash_counts(counted)
-    if not counts.any():
+    words = counted.where("not context")
+    total = words.agg(F.sum("n")).first()[0]
+    if not total:
         return None
+    codes, n = arrays(words.where(F.col("n") >= bound_of(words, own)))
     low = [r.code for r in counted.where("context").orderBy("code").limit(SKETCH).collect()]
-    model = Model(vocabulary(counts), [], table_size(contexts(np.array(low))))
+    model = Model(grow(codes, n, int(total - n.sum())), None, table_size(contexts(np.array(low))))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value.loaded())
+            from pyspark import TaskContext
+
+            trainer = Trainer(shared.value)
             for _, buf, offs in pieces(batches, limit=PART):
                 codes, of = words_of(buf, offs)
                 if len(codes):
                     trainer.learn(codes, of)
-            yield from trainer.deltas()
+            yield from trainer.deltas(TaskContext.get().partitionId())
 
-        parts = texts.coalesce(SPREAD * spark.sparkContext.defaultParallelism).mapInArrow(run, "block int, n binary, delta binary")
-        merged = parts.groupBy("block").applyInArrow(add_up, "block int, total binary")
+        parts = texts.coalesce(SPREAD * spark.sparkContext.defaultParallelism).mapInArrow(run, "block int, salt int, n binary, delta binary")
+        merged = add_up(parts)
         if model.files:
             old = spark.read.schema(merged.schema).parquet(*model.files)
             merged = old.unionByName(merged).groupBy("block").applyInArrow(plus, "block int, total binary")
-        model = Model(model.ids, [], model.size, tuple(sorted(written(merged, "weights").inputFiles())))
+        model = Model(model.tree, None, model.size, tuple(sorted(written(merged, "weights").inputFiles())))
         shared.unpersist()
     return model
 
 
-def plus(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(body.as_buffer(), np.float32) for body in rows["total"])
-    return pa.table({"block": rows["block"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
-
-
 @dataclass
 class Shares:
-    """Counts of words of one id: of each id in all, and logarithms of those of the words counted `least` times or more."""
+    """Logarithms of the counts of words without a leaf of their own that occur `least` times or more."""
 
-    totals: np.ndarray
     least: int
     codes: np.ndarray
     logs: np.ndarray
@@ -311,32 +390,23 @@ class Shares:
 
 
 def shares(model: Model, counted: DataFrame, common: int = COMMON) -> Shares:
-    """The at most `common` most frequent words, those that occur twice or more if they are not more than that."""
-    totals = np.bincount(model.ids, hash_counts(counted), CLASSES * MEMBERS)
+    """The at most `common` most frequent words, those that occur twice or more if they are not more than that, but for leaves."""
     words = counted.where("not context")
-    power = F.length(F.bin("n")) - 1  # n >= 2 ** power
-    by = sorted(((r.power, r.n) for r in words.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    bound, so_far = max(p for p, _ in by) + 1, 0
-    for p, n in by:
-        so_far += n
-        if p < 1 or so_far > common:
-            break
-        bound = p
-    known = words.where(F.col("n") >= 1 << bound).select("code", "n").toArrow()
-    codes, n = known["code"].to_numpy().view(np.uint64), known["n"].to_numpy()
-    order = np.argsort(codes)
-    return Shares(totals, 1 << bound, codes[order], np.log(n[order]).astype(np.float32))
+    least = bound_of(words, common)
+    codes, n = arrays(words.where(F.col("n") >= least))
+    other = model.tree.find(codes) == len(model.tree.codes)
+    return Shares(least, codes[other], np.log(n[other]).astype(np.float32))
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", counted: DataFrame | None = None, common: int = COMMON) -> DataFrame:
     """(doc_id, n_words, log_prob, bits_per_word) of every row of df, repeated rows and null ids included.
 
     log_prob is the natural logarithm of the probability of the text's words (in lower case without ASCII
-    punctuation; a word of punctuation only is one sign): of their ids and, given counted (the count() of the
-    corpus), of each word among those of its id by its share of their occurrences. Words that the corpus does not
-    have count as one occurrence. Without counted it is up to the sharing of ids. A null text has
-    nulls; one without words has 0 words, log_prob 0 and no bits_per_word. Without a model log_prob is null. An empty
-    table gives no rows. Other columns are not read.
+    punctuation; a word of punctuation only is one sign) given those before: of their leaves and, given counted (the
+    count() of the corpus), of each word without a leaf among all such by its share of their occurrences. Words that the
+    corpus does not have count as one occurrence. Without counted, words without leaves are one. A null text
+    has nulls; one without words has 0 words, log_prob 0 and no bits_per_word. Texts may be of any length. Without a model
+    log_prob is null. An empty table gives no rows. Other columns are not read.
 
     The `common` most frequent words are broadcast. If others occur twice or more, their counts are joined by a shuffle.
     """
@@ -354,12 +424,15 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
             total = np.zeros(batch.num_rows)
             rest, ends = codes[:0], np.zeros(len(of), np.int64)
             if own is not None and len(codes):
-                each = log_probs(own, codes, of)
+                each, leaf = log_probs(own, codes, of)
                 if charge is not None:
-                    logs, here = charge.of(codes)
-                    each += logs - np.log(charge.totals + 1.0)[own.ids[(codes >> U(48)).astype(np.int64)]]
+                    other = np.flatnonzero(leaf == len(own.tree.codes))
+                    logs, here = charge.of(codes[other])
+                    each[other] += logs - np.log(own.tree.rest + 1.0)
                     if charge.least > 2:
-                        rest, ends = codes[~here], np.append(0, np.cumsum(~here))[of]
+                        open_ = np.zeros(len(codes), bool)
+                        open_[other[~here]] = True
+                        rest, ends = codes[open_], np.append(0, np.cumsum(open_))[of]
                 total[n > 0] = np.add.reduceat(each, of[:-1][n > 0])
             blind = void | (own is None)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest.view(np.int64)))

@@ -1,156 +1,175 @@
-"""Maximum entropy: scores against plain Python, the gradient, held-out text, awkward rows."""
+"""Maximum entropy: the tree of classes, scores against plain Python, the gradient, held-out text, awkward rows."""
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillon.llm import maxent as M
 from quillon.llm.common import flat
 
 
+def hashed(words):
+    return np.sort(M.words_of(*flat(pa.array([" ".join(words)])))[0])
+
+
+def random_model(seed=0, words=("the", "cat", "sat", "on", "a", "mat", "end", *(f"w{i}" for i in range(300))), size=1 << 12):
+    rng = np.random.default_rng(seed)
+    codes = np.unique(hashed(words))
+    tree = M.grow(codes, rng.integers(2, 1000, len(codes)) ** 2, 50)
+    return M.Model(tree, rng.normal(0, 0.5, (size, M.WAYS)).astype(np.float32), size)
+
+
 def plain(model, codes):
-    """log-probability of each word, word by word and class by class."""
-    out = []
+    """log-probability of each word's leaf, word by word and level by level."""
+    out, tree = [], model.tree
     for t, code in enumerate(codes.tolist()):
-        ids = int(model.ids[code >> 48])
-        kind, member = divmod(ids, M.MEMBERS)
-        found = M.features(codes, np.array([0, len(codes)]))[:, t : t + 1]
+        hit = np.flatnonzero(tree.codes == np.uint64(code))
+        leaf = int(hit[0]) if len(hit) else len(tree.codes)
+        found = M.features(codes, np.array([0, len(codes)]))[:, t]
         total = 0.0
-        for k, bias, target in ((0, 0, kind), (1, kind, member)):
-            logits = model.weights[k][bias].astype(float).copy()
-            for f in found:
-                row = M.rows_of(f) if k == 0 else M.rows_of(f, np.array([kind]))
-                logits += model.weights[k][row[0]]
-            total += logits[target] - math.log(sum(math.exp(x) for x in logits))
+        for level in range(tree.depth[leaf]):
+            node, digit = tree.node[level][leaf], tree.digit[level][leaf]
+            logits = tree.prior[node].astype(float)
+            if level < M.CONTEXT:
+                for row in M.rows_of(found, np.full(M.HISTORY, node), model.size):
+                    logits = logits + model.weights[row]
+            total += logits[digit] - math.log(sum(math.exp(x) for x in logits))
         out.append(total)
     return out
 
 
-def random_model(seed=0):
-    rng = np.random.default_rng(seed)
-    model = M.fresh(M.vocabulary(rng.integers(0, 1000, 1 << 16)))
-    for w in model.weights:
-        w += rng.normal(0, 0.5, w.shape).astype(np.float32)
-    return model
+@pytest.mark.parametrize("n", [0, 1, 2, 40, 5000])
+def test_tree_has_each_word_once_at_its_share(n):
+    rng = np.random.default_rng(n)
+    counts = (rng.pareto(1.0, n) * 5 + 2).astype(np.int64)
+    tree = M.grow(np.arange(n, dtype=np.uint64), counts, 17)
+    paths = {tuple((int(tree.node[k][w]), int(tree.digit[k][w])) for k in range(tree.depth[w])) for w in range(n + 1)}
+    assert len(paths) == n + 1 and (n == 0 or min(map(len, paths)) > 0)
+    everyone = counts.sum() + 18
+    for w in range(n + 1):
+        share = sum(float(tree.prior[node, digit]) for node, digit in ((tree.node[k][w], tree.digit[k][w]) for k in range(tree.depth[w])))
+        assert abs(share - math.log((18 if w == n else counts[w]) / everyone)) < 1e-4
+    assert len(tree.digit) < 14 and tree.find(np.array([n + 5], np.uint64))[0] == n
 
 
 def test_scores_against_plain_python():
     model = random_model()
-    texts = ["the cat sat on the mat", "", "a", "| . the End"]
+    texts = ["the cat sat on the mat", "", "a", "| . the End w7 w200 unheard"]
     codes, of = M.words_of(*flat(pa.array(texts)))
-    got = M.log_probs(model, codes, of)
+    got, _ = M.log_probs(model, codes, of)
     for a, b in zip(of, of[1:]):
         assert np.allclose(got[a:b], plain(model, codes[a:b]), atol=1e-4)
 
 
 def test_probabilities_sum_to_one():
     model = random_model(1)
-    codes, of = M.words_of(*flat(pa.array(["x y z"])))
-    found = M.features(codes, of)[:, 2:]
+    context = hashed(["the"]), hashed(["cat"])
     total = 0.0
-    for kind in range(M.CLASSES):
-        first, second = M.active(found, np.array([kind]))
-        c, m = M.softmax(model.weights[0], first), M.softmax(model.weights[1], second)
-        total += float(c[0, kind] * m[0].sum())
-    assert abs(total - 1) < 1e-5
-    assert sorted(set(model.ids.tolist())) == list(range(M.CLASSES * M.MEMBERS))
+    for code in [*model.tree.codes, np.uint64(12345)]:
+        codes = np.array([context[0][0], context[1][0], code], np.uint64)
+        total += math.exp(M.log_probs(model, codes, np.array([0, 3]))[0][2])
+    assert abs(total - 1) < 1e-4
 
 
-def test_step_is_the_gradient(monkeypatch):
+def test_step_is_the_gradient():
     """One step from zero squares moves each touched row by RATE along its gradient, scaled by its root mean square."""
     model = random_model(2)
     trainer = M.Trainer(model)
-    rows = [np.zeros(6, np.uint16), np.array([5, 6, 5, 7, 5, 6], np.uint16)]
+    rows = np.array([[5, 6, 5, 7, 5, 6], [9, 9, 8, 8, 5, 9]], np.uint32)
+    prior = model.tree.prior[np.array([0, 0, 1, 1, 0, 2])]
     target = np.array([1, 2, 3, 1, 1, 0])
 
     def loss(weights):
-        return -sum(math.log(M.softmax(weights, rows)[i, t]) for i, t in enumerate(target))
+        return -sum(math.log(M.softmax(prior.astype(float), weights, rows)[i, t]) for i, t in enumerate(target))
 
-    before = model.weights[0].astype(np.float64)
-    trainer.step(0, rows, target)
-    for row in (0, 5, 6, 7):
-        numeric = np.zeros(M.CLASSES)
-        for j in range(M.CLASSES):
+    before = model.weights.astype(np.float64)
+    trainer.step(prior, rows, target)
+    for row in (5, 6, 7, 8, 9):
+        numeric = np.zeros(M.WAYS)
+        for j in range(M.WAYS):
             up, down = before.copy(), before.copy()
             up[row, j] += 1e-4
             down[row, j] -= 1e-4
             numeric[j] = (loss(up) - loss(down)) / 2e-4
         want = -M.RATE * numeric / math.sqrt((numeric**2).mean() + 1e-6)
-        assert np.allclose(trainer.weights[0][row] - before[row], want, atol=2e-2)
-    assert (trainer.weights[0][8:] == model.weights[0][8:]).all()
+        assert np.allclose(trainer.weights[row] - before[row], want, atol=2e-2)
+        assert trainer.seen[row] == (rows == row).sum()
+    assert (trainer.weights[10:] == model.weights[10:]).all()
 
 
 def test_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
-    model = M.train(docs.where("doc_id % 5 > 0"))
+    seen = docs.where("doc_id % 5 > 0")
+    counted = M.count(seen)
     held = docs.where("doc_id % 5 = 0")
     rng = random.Random(1)
     texts = [r.text for r in held.select("text").collect()]
     mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    mean = lambda df: (lambda r: -r[0] / r[1] / math.log(2))(M.score(df, model).selectExpr("sum(log_prob)", "sum(n_words)").first())
-    natural, shuffled = mean(held), mean(mixed)
-    counts = np.zeros(1 << 16)
-    for t in docs.where("doc_id % 5 > 0").select("text").collect():
-        counts += np.bincount((M.words_of(*flat(pa.array([t.text])))[0] >> np.uint64(48)).astype(int), minlength=1 << 16)
-    share = np.bincount(model.ids, counts, M.CLASSES * M.MEMBERS) + 1
-    codes = np.concatenate([M.words_of(*flat(pa.array([t])))[0] for t in texts])
-    unigram = -np.log2(share / share.sum())[model.ids[(codes >> np.uint64(48)).astype(int)]].mean()
-    assert natural < shuffled and natural < unigram < 10
+    mean = lambda df, model: (lambda r: -r[0] / r[1] / math.log(2))(M.score(df, model, counted=counted).selectExpr("sum(log_prob)", "sum(n_words)").first())
+    none, one, two = (M.train(seen, rounds=r, counted=counted) for r in (0, 1, 2))
+    none.weights = np.zeros((none.size, M.WAYS), np.float32)
+    unigram, first, natural = (mean(held, m) for m in (none, one, two))
+    assert natural < mean(mixed, two) and natural < first < unigram < 14
 
 
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, "same thing"), (3, "same thing"), (None, "x"), (5, "very long " * 50_000), (6, " | | ")]
     df = spark.createDataFrame([(*r, "a", 1.0) for r in rows], "doc_id bigint, text string, w string, log_prob double")
-    model = M.train(df, rounds=2)
+    model = M.train(df)
     got = {(r.doc_id, r.n_words): r for r in M.score(df, model).collect()}
     assert got[(1, None)].log_prob is None and got[(2, 0)].log_prob == 0 and got[(2, 0)].bits_per_word is None
     assert got[(6, 2)].log_prob < 0 and (5, 100_000) in got and len(got) == 6
     assert M.train(df.limit(0)) is None and M.train(df.where("doc_id < 3")) is None
     assert M.score(df.limit(0), model).count() == 0 and M.score(df, None).where("log_prob is not null").count() == 0
+    few = df.where("doc_id is null or doc_id = 6")
+    once = M.train(few)
+    assert M.score(df, once, counted=M.count(few)).where("n_words > 0 and (log_prob is null or log_prob > 1e-6)").count() == 0
 
 
-def test_tables_grow_with_contexts(spark, sf, monkeypatch):
+def test_table_grows_with_contexts(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = [r.text for r in docs.where("text is not null").collect()]
     exact = len(np.unique(M.features(*M.words_of(*flat(pa.array(texts)))) >> np.uint64(1)))
-    monkeypatch.setattr(M, "LOAD", 1)
-    one, three = M.train(docs.where("doc_id % 3 = 0")), M.train(docs)
-    assert 0.9 * exact < three.size < 1.1 * exact and one.size < 0.6 * three.size
+    monkeypatch.setattr(M, "BITS", 8)
+    monkeypatch.setattr(M, "CONTEXTS", 64)
+    one, three = M.train(docs.where("doc_id % 3 = 0"), rounds=1), M.train(docs, rounds=1)
+    assert 0.85 * 256 * (exact / 64) ** 0.5 < three.size < 1.15 * 256 * (exact / 64) ** 0.5 and one.size < 0.8 * three.size
     weights = three.loaded().weights
-    assert all(len(w) == three.size for w in weights) and (weights[0] != 0).any(1).mean() > 0.5
-    assert M.score(docs, three).where("n_words > 0 and log_prob >= 0").count() == 0
+    assert len(weights) == three.size and (weights != 0).any(1).mean() > 0.5
+    assert len(one.tree.codes) < len(three.tree.codes) and M.table_size(1e30) == M.MOST
 
 
-def test_rows_are_averaged_over_the_words_that_touched_them():
-    count = np.zeros((2, M.BLOCK), np.float32)
-    count[:, 0], count[1, 1] = (1, 3), 5
-    deltas = [np.full((M.BLOCK, M.CLASSES), x, np.float16) for x in (4, 8)]
-    rows = pa.table({"block": [0, 0], "n": [c.tobytes() for c in count], "delta": [d.tobytes() for d in deltas]})
-    got = np.frombuffer(M.add_up(rows)["total"][0].as_py(), np.float32).reshape(M.BLOCK, -1)
-    assert (got[0] == 7).all() and (got[1] == 8).all() and (got[2:] == 0).all()
+def test_rows_are_averaged_over_the_words_that_touched_them(spark):
+    count = np.zeros((3, M.BLOCK), np.float32)
+    count[:, 0], count[1, 1] = (1, 3, 4), 5
+    deltas = [np.full((M.BLOCK, M.WAYS), x, np.float16) for x in (4, 8, 2)]
+    for salts in ((0, 0, 0), (0, 1, 2), (5, 5, 1)):
+        parts = spark.createDataFrame([(0, s, c.tobytes(), d.tobytes()) for s, c, d in zip(salts, count, deltas)], "block int, salt int, n binary, delta binary")
+        got = np.frombuffer(M.add_up(parts).first().total, np.float32).reshape(M.BLOCK, -1)
+        assert np.allclose(got[0], (4 + 24 + 8) / 8) and (got[1] == 8).all() and (got[2:] == 0).all()
 
 
-def test_words_of_one_id_are_told_apart(spark):
+def test_words_without_leaves_are_told_apart(spark):
     texts = ["the cat sat on the mat", "the dog sat on a mat", "the cat", None, "", "zebra zebra zebra quagga"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "the cat"), (1, "the okapi")], "doc_id bigint, text string")
     counted = M.count(df)
-    model = M.train(df, counted=counted)
-    model.ids[:] = 7  # all words share an id
-    counts = {}
-    for t in [*texts, "the cat", "the okapi"]:
-        for w in (t or "").split():
-            counts[w] = counts.get(w, 0) + 1
+    counts = Counter(w for t in [*texts, "the cat", "the okapi"] for w in (t or "").split())
     assert counted.where("not context").count() == len(counts)
-    n = sum(counts.values()) + 1
     asked = df.union(spark.createDataFrame([(50, "the unheard")], "doc_id bigint, text string"))
-    plain = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in M.score(asked, model).collect() if r.n_words)
-    for common in (M.COMMON, 2, 0):  # with and without words that are not broadcast
-        rows = M.score(asked, model, counted=counted, common=common).collect()
-        assert len(rows) == 9
-        got = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in rows if r.n_words)
-        want = {(i or -1, len(t.split())): sum(math.log(counts.get(w, 1) / n) for w in t.split()) for i, t in [(r.doc_id, r.text) for r in asked.collect()] if t}
-        for (i, k, a), (j, m, b) in zip(plain, got):
-            assert (i, k) == (j, m) and abs(b - a - want[(i, k)]) < 1e-4
-        assert all(abs(r.bits_per_word + r.log_prob / r.n_words / math.log(2)) < 1e-9 for r in rows if r.n_words)
+    for own in (0, 2, 100):
+        model = M.train(df, counted=counted, own=own)
+        known = {w: len(model.tree.codes) > model.tree.find(hashed([w]))[0] for w in [*counts, "unheard"]}
+        assert sum(known.values()) == len(model.tree.codes) == (0 if own == 0 else sum(c >= {2: 5, 100: 2}[own] - (own == 2) for c in counts.values())) and model.tree.rest == sum(c for w, c in counts.items() if not known[w])
+        plain_ = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in M.score(asked, model).collect() if r.n_words)
+        for common in (M.COMMON, 2, 0):  # with and without words that are not broadcast
+            rows = M.score(asked, model, counted=counted, common=common).collect()
+            assert len(rows) == 9
+            got = sorted((r.doc_id or -1, r.n_words or 0, r.log_prob) for r in rows if r.n_words)
+            want = {(r.doc_id or -1, len(r.text.split())): sum(math.log(counts.get(w, 1) / (model.tree.rest + 1)) for w in r.text.split() if not known[w]) for r in asked.collect() if r.text}
+            for (i, k, a), (j, m, b) in zip(plain_, got):
+                assert (i, k) == (j, m) and abs(b - a - want[(i, k)]) < 1e-4
+            assert all(abs(r.bits_per_word + r.log_prob / r.n_words / math.log(2)) < 1e-9 for r in rows if r.n_words)
