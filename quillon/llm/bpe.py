@@ -39,8 +39,12 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bytes = {rank: piece for piece, rank in self.ranks.items()}
         self.find, self.find_all = regex.compile(pattern).match, regex.compile(pattern).findall
+        self.longest: dict[bytes, int] = {}  # of the pieces that begin with these four bytes
+        for piece in self.ranks:
+            if len(piece) > 3:
+                self.longest[piece[:4]] = max(self.longest.get(piece[:4], 0), len(piece))
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the first << 17 | the second
 
     # ------------------------------------------------------------------------------------------------ bytes of a part
 
@@ -96,11 +100,12 @@ class Codec:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether tokens a and b may stand side by side: the encoding of their bytes is a, b."""
-        known = self.pairs.get((a, b))
+        key = a << 17 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == (a, b)
+            known = self.pairs[key] = self.merged(self.bytes[a] + self.bytes[b]) == (a, b)
         return known
 
     def join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
@@ -122,25 +127,34 @@ class Codec:
     def spelled(self, data: bytes) -> tuple[int, ...]:
         """Tokens of a few bytes: those pieces that spell them of which each two neighbours are stable. A prefix has one
         such spelling alone, so a place from which none goes on is never tried again."""
-        n, rank, known = len(data), self.ranks.get, self.pairs.get
+        n, rank, longest, known = len(data), self.ranks.get, self.longest.get, self.pairs.get
+        if (whole := rank(data)) is not None:
+            return (whole,)
         out: list[int] = []
         begins: list[int] = []
-        at, size, last, dead = 0, n, -1, 0
+        at, last, dead = 0, -1, set()
+        end = min(n - 1, longest(data[:4], 3))
         while at < n:
-            while size:
-                if not dead >> at + size & 1 and (token := rank(data[at : at + size])) is not None and (last < 0 or (known((last, token)) if (last, token) in self.pairs else self.stable(last, token))):
-                    break
-                size -= 1
-            if size:
+            while end > at:
+                token = rank(data[at:end])
+                if token is not None and end not in dead:
+                    if last < 0:
+                        break
+                    ok = known(last << 17 | token)
+                    if self.stable(last, token) if ok is None else ok:
+                        break
+                end -= 1
+            if end > at:
                 out.append(token)
                 begins.append(at)
-                at, last = at + size, token
-                size = n - at
+                at, last = end, token
+                end = min(n, at + longest(data[at : at + 4], 3))
             else:
-                dead |= 1 << at
-                end, at = at, begins.pop()
+                dead.add(at)
+                end = at - 1
+                at = begins.pop()
                 out.pop()
-                size, last = end - at - 1, out[-1] if out else -1
+                last = out[-1] if out else -1
         return tuple(out)
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
