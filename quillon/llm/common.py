@@ -58,7 +58,7 @@ def run_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         if a == b:
             continue
         x, y = lo[a:b] - k * SPAN, np.where(long[a:b], lo[a:b], hi[a:b]) - k * SPAN
-        value = _VALUE[data[k * SPAN : k * SPAN + int(y[-1])]]
+        value = _VALUE[data[k * SPAN : k * SPAN + int(y.max())]]
         run = np.zeros(len(value) + 1, np.uint64)
         np.cumsum(value * _UP[: len(value)], out=run[1:])
         out[a:b] = (run[y] - run[x]) * _DOWN[x]

@@ -124,3 +124,12 @@ def test_a_passage_of_all_documents(spark, monkeypatch):
     for later in (False, True):
         got = S.repeated_passages(df, later=later)
         assert {(r.start_word, r.end_word, r.own): r["count"] for r in got.withColumn("own", got.doc_id < 20_000).groupBy("start_word", "end_word", "own").count().collect()} == {(3, 58, True): 20_000 - later, (0, 55, False): 20_000}
+
+
+def test_windows_of_long_words(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([3, 5, 900, 4000])))
+    shared = [word() for _ in range(70)]
+    rows = [(d, " ".join([word() for _ in range(30)] + shared[d : 60 + d] + [word() for _ in range(30)])) for d in range(8)]
+    for later in (False, True):
+        assert got(spark, rows, 50, later) == brute(rows, 50, later)
