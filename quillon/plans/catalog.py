@@ -216,7 +216,8 @@ def jaro_winkler(spark: SparkSession, sf: str) -> DataFrame:
 def component_scores(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     a, b = F.col("a"), F.col("b")
-    return names(spark, sf).select("a", "b", arrow.subsequence_score(text.compact(a), F.lower(b)).alias("subsequence"), arrow.component_score(a, b).alias("component"), arrow.text_score(a, b).alias("text"))
+    scores = {"subsequence": arrow.subsequence_score(text.compact(a), F.lower(b)), "component": arrow.component_score(a, b), "text": arrow.text_score(a, b)}
+    return names(spark, sf).select("a", "b", *(F.round(c, 9).alias(name) for name, c in scores.items()))
 
 
 @query
