@@ -154,15 +154,16 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def folded_hashes(buf: np.ndarray, words: Words) -> np.ndarray:
-    """Hash of each word in lower case without ASCII punctuation; 0 where nothing is left."""
+def folded_hashes(buf: np.ndarray, words: Words, front: int | None = None) -> np.ndarray:
+    """Hash of each word in lower case without ASCII punctuation, or of its first `front` bytes; 0 where nothing is left."""
     if not len(words.start):
         return np.zeros(0, np.uint64)
     low = fold(buf)
     keep = _KEEP[low]
     at = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(keep, out=at[1:])
-    return run_hashes(low[keep], at[words.start], at[words.end])
+    lo, hi = at[words.start], at[words.end]
+    return run_hashes(low[keep], lo, hi if front is None else np.minimum(hi, lo + front))
 
 
 def clean(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -37,7 +37,10 @@ def test_marginals_against_enumeration():
                 want = [brute(e[a:b], trans) for a, b in zip(of, of[1:])]
                 assert np.allclose(p, np.concatenate([w[0] for w in want]))
                 assert np.allclose(pairs, sum(w[1] for w in want))
-                assert np.allclose(z, sum(w[2] for w in want))
+                assert np.allclose(z, [w[2] for w in want])
+                heavy = rng.normal(0, 1, 5)
+                _, pairs, _ = T.marginals(e, of, trans, pairs=True, weigh=lambda _: heavy)
+                assert np.allclose(pairs, sum(h * w[1] for h, w in zip(heavy, want)))
         finally:
             T.BLOCK = old
 
@@ -63,6 +66,55 @@ def words_of(rows):
     return {r.doc_id: [(s.start, s.end) for s in r.spans] for r in rows}
 
 
+def test_gradient_of_the_documents_likelihood():
+    """Weights of the expected tags against differences of the log-likelihood that a toxic row has a toxic tag."""
+    rng = np.random.default_rng(5)
+    of, toxic = np.array([0, 4, 9, 9, 12]), np.array([True, False, False, True])
+    e, trans = rng.normal(-1, 1, 12), rng.normal(0, 1, (2, 2))
+    n = np.diff(of)
+
+    def total(e, trans):
+        z = T.marginals(e, of, trans, pairs=True)[2]
+        for a, b, own in zip(of, of[1:], z):
+            assert np.isclose(own, brute(e[a:b], trans)[2])
+        return T.likelihood(z, n, toxic, trans)[0].sum()
+
+    pull = np.zeros(4)
+
+    def weigh(z):
+        pull[:] = T.likelihood(z, n, toxic, trans)[1]
+        return pull
+
+    p, expected, _ = T.marginals(e, of, trans, pairs=True, weigh=weigh)
+    expected[0, 0] -= (pull * n).sum()
+    for i in range(12):
+        step = np.eye(12)[i] * 1e-5
+        assert np.isclose((total(e + step, trans) - total(e - step, trans)) / 2e-5, (p * np.repeat(pull, n))[i], atol=1e-5)
+    for i in range(4):
+        step = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert np.isclose((total(e, trans + step) - total(e, trans - step)) / 2e-5, expected.ravel()[i], atol=1e-5)
+
+
+def test_densest_passage():
+    p, of = np.random.default_rng(1).random(500) ** 3, np.array([0, 0, 3, 200, 500])
+    want = []
+    for a, b in zip(of, of[1:]):
+        sure = [-np.log1p(-x) if x >= T.COUNTED else 0.0 for x in p[a:b]]
+        want.append(max((sum(sure[i : i + T.WINDOW]) for i in range(b - a)), default=0.0))
+    assert np.allclose(T.densest(p, of), want)
+
+
+def test_a_passage_in_a_long_clean_text(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    field = T.train(docs, labels)
+    field.rate = 0.01
+    long = " ".join(["the of and to in that is"] * 3000)
+    rows = [(1, long), (2, long[:40_000] + " you stupid idiot and worthless loser " + long[40_000:])]
+    got = T.toxic_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), field).collect()
+    assert [r.doc_id for r in got] == [2] and all(39_990 < s.start < 40_060 for s in got[0].spans)
+
+
 def test_held_out_documents(spark, sf):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
