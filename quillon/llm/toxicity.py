@@ -19,13 +19,14 @@ CONTEXTS = 5  # distinct neighbourhoods in toxic documents that a word must have
 FRONT = 4  # bytes of a word that are a feature beside the whole word, so that endings do not hide it
 START = -7.0  # log-odds of a toxic tag to begin with
 PENALTY = 0.005  # of squared weights
+ASIDE = 200.0  # times as much for neighbours
 STIFF = 50.0  # of squared transitions: a toxic word is little reason for the next one to be toxic
 RATE = 0.25
 THRESHOLD = 0.5  # of a span's words
 COUNTED = 0.1  # of words that are evidence
 WINDOW = 64  # words that are judged as a passage, however long the text is
 HELD = 4  # every so many labelled documents are kept for the bounds on evidence
-ALARMS = 0.004  # share of clean labelled documents that the bounds may let through
+ALARMS = 0.004  # share of clean labelled documents that the bound on a whole text may let through
 CHANCE = 4.0  # times the clean documents' evidence a word that a text is allowed for its length
 BLOCK = 64
 STEPS = 60
@@ -197,6 +198,7 @@ def learnt(codes: np.ndarray, fronts: np.ndarray, of: np.ndarray, toxic: np.ndar
     params = np.zeros(4 * size + 5)
     params[-5] = START
     pull = np.zeros(len(n))
+    price = np.repeat([PENALTY, ASIDE * PENALTY, ASIDE * PENALTY, PENALTY], size)  # else a word could be toxic for its neighbour's sake
 
     def weigh(log_z: np.ndarray) -> np.ndarray:
         pull[:] = likelihood(log_z, n, toxic, field.trans)[1]
@@ -209,7 +211,7 @@ def learnt(codes: np.ndarray, fronts: np.ndarray, of: np.ndarray, toxic: np.ndar
         g = p * pull[row]
         expected[0, 0] -= float((pull * n).sum())
         grad = np.concatenate([*(np.bincount(s, g, minlength=size + 1)[:size] for s in slots), [g.sum()], expected.ravel()])
-        grad[:-5] -= PENALTY * params[:-5]
+        grad[:-5] -= price * params[:-5]
         grad[-4:] -= STIFF * params[-4:]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -236,8 +238,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS) -> Field:
         p = marginals(field.emissions(own, front, its), its, field.trans)
         found, length = evidence(p, its), np.diff(its)
         field.rate = CHANCE * float(found.sum()) / max(1, int(length.sum()))
-        high = lambda x: max(0.0, float(np.sort(x)[::-1][int(ALARMS * len(x))]))
-        field.least, field.dense = high(found - field.rate * length), high(densest(p, its))
+        over = np.sort(found - field.rate * length)[::-1]
+        field.least, field.dense = max(0.0, float(over[int(ALARMS * len(over))])), float(densest(p, its).max())
     return field
 
 
