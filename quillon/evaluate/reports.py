@@ -176,11 +176,10 @@ def write_prompts(prompts: dict[str, str], path: str) -> None:
 
 def qrels_by_containment(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, doc_id, relevance) of documents that contain a query's whole text."""
-    from quillon.operators.retrieve import contained
+    from quillon.operators.retrieve import contained_any
     from quillon.session import lookup
 
     asked = queries.where("text is not null and text <> ''")
-    names = [r.text for r in asked.select("text").distinct().collect()]
-    found = contained(documents, names, ["doc_id"], "text").withColumnRenamed("phrase", "text")
+    found = contained_any(documents, asked.select(F.col("text").alias("phrase")), ["doc_id"], "text").withColumnRenamed("phrase", "text")
     return found.join(lookup(asked), "text").select("query_id", "doc_id", F.lit(1).cast("bigint").alias("relevance"))
 

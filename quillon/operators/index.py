@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokenize
+from quillon.functions.text import WORD_BREAK
+from quillon.session import written
 
 BUCKETS = 32
 
 
 def term_rows(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, length, term): one row per token occurrence; length is in bytes."""
-    return artifacts.select("artifact_id", F.octet_length("text").cast("bigint").alias("length"), F.explode(tokenize(F.col("text"))).alias("term"))
+    words = F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("term")  # empty ones go after this, as a filter of the array would be interpreted
+    return artifacts.select("artifact_id", F.octet_length("text").cast("bigint").alias("length"), words).where("term <> ''")
 
 
 def postings(artifacts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -63,11 +65,39 @@ def merge(shards: list[Index]) -> Index:
 
 def save(index: Index, path: str) -> None:
     """Write an index. Postings are clustered by term, so that a read by terms skips row groups."""
-    index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.postings.withColumn("bucket", _folder(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.frequency.write.mode("overwrite").parquet(f"{path}/frequency")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
+def of_terms(rows: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
+    """postings of the terms, where those are few and the postings are stored: only their folders and row groups are read."""
+    if "bucket" not in rows.columns or dict(rows.dtypes)["bucket"] != "int":
+        return rows
+    names = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        return rows
+    folders = [r.b for r in terms.select(_folder(F.col("term")).alias("b")).distinct().collect()]
+    return rows.where(F.col("bucket").isin(*folders) & F.col("term").isin(*names))
+
+
+def _folder(term: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def stored(artifacts: DataFrame, path: str) -> Index:
+    """The index below path, made or made anew if the artifacts are not those that it was made of."""
+    spark = artifacts.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/signature")
+    now = signature(artifacts)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and spark.read.parquet(f"{path}/signature").first() == now.first():
+        return load(spark, path)
+    rows = written(postings(artifacts), "postings")
+    save(Index(rows, document_frequency(rows), totals(artifacts)), path)
+    now.write.mode("overwrite").parquet(f"{path}/signature")  # last, so that it marks a whole index
+    return load(spark, path)
+
+
 def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequency", "totals")))
 

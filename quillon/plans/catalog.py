@@ -5,6 +5,7 @@ Each runs over whole tables. Limits are those of top-k searches alone.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -76,6 +77,11 @@ def corpus(spark: SparkSession, sf: str) -> engine.Corpus:
     return engine.Corpus(docs(spark, sf), embedder=engine.HashEmbedder(WIDTH))
 
 
+def stored_index(spark: SparkSession, sf: str) -> ix.Index:
+    own = docs(spark, sf)
+    return ix.stored(own, f"{session_dir(spark)}/index-{hashlib.md5(sf.encode()).hexdigest()}")
+
+
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Every vector as a query, and every vector as a segment."""
     own = table(spark, sf, "embeddings").where("vec_id is not null and embedding is not null")
@@ -126,8 +132,9 @@ def artifact_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
+    """One query of the stored index, which the first call makes."""
     one = spark.createDataFrame([(0, ONE_QUERY)], "query_id bigint, text string")
-    return ranked(retrieve.bm25(expansion.expand(one), docs(spark, sf), K)).drop("query_id")
+    return ranked(retrieve.bm25(expansion.expand(one), docs(spark, sf), K, stored_index(spark, sf))).drop("query_id")
 
 
 @query
@@ -148,7 +155,7 @@ def bm25_weighted_variants(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bm25_sharded_merge(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over an index merged from sectors: the same as over one index."""
-    return ranked(retrieve.bm25(variants(spark, sf), docs(spark, sf), K, refresh.sharded_index(docs(spark, sf), refresh.BUCKETS)))
+    return ranked(retrieve.bm25(variants(spark, sf), docs(spark, sf), K, lambda terms: refresh.sharded_index(docs(spark, sf), refresh.BUCKETS, terms)))
 
 
 @query
