@@ -149,7 +149,7 @@ def features(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def rows_of(hashes: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
     """[HISTORY, words]: weight rows of each word's features in a class."""
-    return ((mix(hashes + (node.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size)).astype(np.uint32)
+    return ((mix(hashes + (node.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size)).astype(np.int64)
 
 
 def softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -200,12 +200,19 @@ class Trainer:
         p[np.arange(len(target)), target] -= 1.0  # gradient of the negative log-likelihood by the logits
         flat = rows.ravel()
         order = np.argsort(flat)
-        there = flat[order]
+        there = flat.take(order)
         first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-        gradient = np.add.reduceat(np.take(p, order % len(target), axis=0, mode="clip"), first, axis=0)
-        own = there[first]
-        self.seen[own] += np.diff(first, append=len(there))
-        size = squares[own] + np.einsum("ij,ij->i", gradient, gradient) / WAYS
+        count = np.diff(first, append=len(there))
+        own = there.take(first)
+        example = order % len(target)
+        gradient = np.take(p, example.take(first), axis=0, mode="clip")
+        several = np.flatnonzero(count > 1)  # most rows of long contexts are touched once
+        if len(several):
+            each = count.take(several)
+            among = np.flatnonzero(np.repeat(count > 1, count))
+            gradient[several] = np.add.reduceat(np.take(p, example.take(among), axis=0, mode="clip"), np.cumsum(each) - each, axis=0)
+        self.seen[own] += count
+        size = squares.take(own) + np.einsum("ij,ij->i", gradient, gradient) / WAYS
         squares[own] = size
         gradient *= (-RATE / np.sqrt(size))[:, None]
         gradient += np.take(weights, own, axis=0, mode="clip")
