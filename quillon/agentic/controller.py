@@ -53,10 +53,11 @@ class Session:
     shortlist: int = SHORTLIST
     models: Models = field(default_factory=Models)
     progress: Callable[[dict], None] | None = None
+    timeout: float | None = None  # seconds for each lane; late ones are left out
 
     def hits(self, query: str, intent: str | None = None) -> list[Hit]:
         asked = self.spark.createDataFrame([("q", query, intent)], "query_id string, text string, intent string")
-        rows = search(self.plan, asked, self.corpus, self.limit, self.shortlist, self.models, highlight=True).orderBy("rank").collect()
+        rows = search(self.plan, asked, self.corpus, self.limit, self.shortlist, self.models, highlight=True, timeout=self.timeout).orderBy("rank").collect()
         return [Hit(r["rank"], r.artifact_id, r.path, r.score, r.confidence, r.location, r.snippet) for r in rows]
 
     def say(self, phase: str, **more) -> None:

@@ -13,8 +13,9 @@ from quillon import config
 from quillon.agentic.controller import Hit, Session, autonomous
 from quillon.agentic.model import Task
 from quillon.evaluate import reports
+from quillon.operators import expansion
 from quillon.plans import plan as plans
-from quillon.plans.engine import Corpus, HashEmbedder
+from quillon.plans.engine import Corpus, HashEmbedder, Models
 from quillon.session import written
 from quillon.sources import context, files, tsv
 
@@ -83,15 +84,21 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(f"--{name}")
     s.add_argument("--limit", type=int)
     s.add_argument("--shortlist", type=int)
+    s.add_argument("--timeout", type=float, help="seconds for each retriever; late ones are left out")
+    s.add_argument("--index", help="folder of a stored index, made where it is missing or stale")
     s.add_argument("--json", action="store_true")
     s.add_argument("--agent", action="store_true")
     s.add_argument("--agent-mode", choices=("linear", "graph"), default="linear")
     s.add_argument("--step-limit", type=int, default=3)
     e = sub.add_parser("eval")
-    e.add_argument("kind", choices=("quality", "latency", "agentic", "all"))
+    e.add_argument("kind", choices=("quality", "latency", "agentic", "comparative", "optimize", "all"))
     for name in ("corpus", "queries", "qrels", "fixtures"):
         e.add_argument(f"--{name}")
     e.add_argument("--strategy", default="hybrid")
+    e.add_argument("--strategies", default="bm25,vector,hybrid,path-hybrid", help="those that eval comparative ranks")
+    e.add_argument("--table", action="store_true")
+    e.add_argument("--prompts", help="candidate prompts for eval optimize, one a line")
+    e.add_argument("--out", help="TOML file for the prompt that eval optimize finds best")
     e.add_argument("--shortlist", type=int, default=8)
     e.add_argument("--retained-artifact-limit", type=int, default=1)
     d = sub.add_parser("dataset")
@@ -115,7 +122,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         root, query = (["."] + args.targets)[-2:]
         plan = plans.resolve(args.strategy or settings.search.strategy).with_overrides(tuple(args.retrievers.split(",")) if args.retrievers else None, args.fusion, args.reranking)
         corpus, summary = load_folder(spark, root)
-        session = Session(spark, plan, corpus, args.limit or settings.search.limit, args.shortlist or settings.search.shortlist, progress=Progress())
+        session = Session(spark, plan, corpus, args.limit or settings.search.limit, args.shortlist or settings.search.shortlist, progress=Progress(), timeout=args.timeout)
+        if args.index:
+            corpus.indexed(args.index)
         if args.agent:
             out = autonomous(session, Task(query, args.agent_mode, step_limit=args.step_limit, intent=args.intent))
             print(json.dumps({"stop_reason": out.trace.stop_reason, "trace": out.trace.rows(), "retained": [vars(e) for e in out.retained]}) if args.json else outcome_text(args.agent_mode, out))
@@ -131,6 +140,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if helpers:
         corpus.artifacts = tsv.without_helpers(corpus.artifacts, helpers)
     report: dict = {}
+    if args.kind in ("comparative", "optimize"):
+        if not (args.queries and args.qrels):
+            raise SystemExit(f"eval {args.kind} needs --queries and --qrels")
+        queries, qrels = written(tsv.read_queries(spark, args.queries), "queries"), written(tsv.read_qrels(spark, args.qrels), "qrels")
+        if args.kind == "comparative":
+            rows = [{"strategy": name, **reports.quality(name, queries, qrels, corpus, args.shortlist, by_path=True)} for name in args.strategies.split(",")]
+            print(reports.table_text(sorted(rows, key=lambda r: (-r.get("ndcg", -1.0), r["strategy"]))) if args.table else json.dumps(rows))
+            return 0
+        kind = plans.resolve(args.strategy).expansion
+        lines = [x for x in open(args.prompts).read().splitlines() if x.strip()] if args.prompts else [expansion.KINDS.get(kind, expansion.KINDS["hyde"])[2]]
+        score = lambda prompt: reports.quality(args.strategy, queries, qrels, corpus, args.shortlist, Models(prompts={kind: prompt}), by_path=True)["ndcg"]
+        best, value = reports.optimise(score, lines, lambda known: [], 1)
+        if args.out:
+            reports.write_prompts({kind: best}, args.out)
+        print(json.dumps({"strategy": args.strategy, "prompt": best, "ndcg": value}))
+        return 0
     if args.kind in ("quality", "latency", "all") and args.queries:
         queries = written(tsv.read_queries(spark, args.queries), "queries")
         if args.kind != "latency":

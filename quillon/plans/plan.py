@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from quillon.operators import expansion, rerank
+from quillon.operators import expansion, fusion, rerank
 from quillon.operators.retrieve import LANES
 
-FUSIONS = ("rrf",)
+FUSIONS: dict[str, Callable] = {"rrf": fusion.rrf}
+#: Lanes beside the built-in ones, by name: f(variants, corpus, shortlist) gives a lane's rows.
+OWN_LANES: dict[str, Callable] = {}
+
+
+def register_lane(name: str, make: Callable) -> None:
+    """Let plans name a lane of the caller's own."""
+    if name in LANES:
+        raise ValueError(f"{name} is a built-in retriever")
+    OWN_LANES[name] = make
+
+
+def register_fusion(name: str, fuse: Callable) -> None:
+    """Let plans name a fusion of the caller's own: f(lanes, shortlist, payload) as fusion.rrf has it."""
+    FUSIONS[name] = fuse
+
+
+def register_preset(plan: SearchPlan) -> None:
+    """Let resolve() find a plan of the caller's own by its name."""
+    PRESETS[plan.name] = plan
+
 
 
 @dataclass(frozen=True)
@@ -22,8 +43,9 @@ class SearchPlan:
         for what, value, known in (("expansion", self.expansion, (*expansion.PLAIN, *expansion.KINDS)), ("fusion", self.fusion, FUSIONS), ("reranking", self.reranking, rerank.KINDS)):
             if value not in known:
                 raise ValueError(f"unknown {what}: {value}")
-        if not self.lanes or set(self.lanes) - set(LANES):
-            raise ValueError(f"unknown retrievers: {sorted(set(self.lanes) - set(LANES)) or 'none given'}")
+        strange = set(self.lanes) - set(LANES) - set(OWN_LANES)
+        if not self.lanes or strange:
+            raise ValueError(f"unknown retrievers: {sorted(strange) or 'none given'}")
 
     def with_overrides(self, lanes: tuple[str, ...] | None = None, fusion: str | None = None, reranking: str | None = None) -> SearchPlan:
         """The plan with other lanes, fusion or reranking; expansion belongs to the preset."""

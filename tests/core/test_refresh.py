@@ -39,6 +39,40 @@ def test_sector_that_is_gone(spark, tmp_path):
     assert frequencies(refresh.load_index(spark, path)) == {"x": 1}
 
 
+def test_upsert_reads_touched_sectors_alone(spark, tmp_path):
+    path = str(tmp_path / "index")
+    refresh.refresh(rows(spark, {f"d{i}": f"word{i} common" for i in range(40)}), path, 16)
+    buckets = {r.artifact_id: r.bucket for r in spark.read.parquet(f"{path}/sectors").select("artifact_id", "bucket").collect()}
+    other = next(b for b in buckets.values() if b != buckets["d3"])
+    for name in ("sectors", "postings"):
+        for f in (tmp_path / "index" / name / f"bucket={other}").glob("*.parquet"):
+            f.write_bytes(b"not to be read")
+    done = refresh.upsert(rows(spark, {"d3": "changed common"}), path, 16)
+    assert done.completed == 1 and done.total == len(set(buckets.values()))
+    assert spark.read.parquet(f"{path}/fingerprints").count() == done.total and not (tmp_path / "index" / "journal").exists()
+    mine = spark.read.parquet(f"{path}/sectors").where(f"bucket = {buckets['d3']}").collect()
+    assert {r.artifact_id: r.text for r in mine}["d3"] == "changed common" and len(mine) == sum(b == buckets["d3"] for b in buckets.values())
+
+
+def test_newest_row_wins(spark):
+    df = spark.createDataFrame([("a", 1, "z"), ("a", 3, "x"), ("a", 2, "y"), ("b", None, "q"), ("b", None, "r")], "artifact_id string, ts int, text string")
+    got = {r.artifact_id: r.text for r in refresh.newest(df, "ts").collect()}
+    assert got == {"a": "x", "b": "r"} and {r.artifact_id: r.text for r in refresh.newest(df).collect()} == {"a": "z", "b": "r"}
+
+
+def test_interrupted_refresh_is_resumed(spark, tmp_path):
+    path, texts = str(tmp_path / "index"), {f"d{i}": f"word{i}" for i in range(30)}
+    refresh.refresh(rows(spark, texts), path, 8)
+    (old,) = [r.asDict() for r in spark.read.parquet(f"{path}/fingerprints").where("bucket = 1").collect()]
+    # as if all was written but the fingerprints: the journal is there and sector 1 seems to be old
+    kept = [tuple(r) for r in spark.read.parquet(f"{path}/fingerprints").collect() if r.bucket != 1]
+    spark.createDataFrame([*kept, (1, old["members"], "stale")], "bucket bigint, members bigint, fingerprint string").write.mode("overwrite").parquet(f"{path}/fingerprints")
+    spark.createDataFrame([(1, "changed")], "bucket bigint, state string").write.parquet(f"{path}/journal")
+    done = refresh.refresh(rows(spark, texts), path, 8)
+    assert (done.completed, done.resumed) == (0, 1) and refresh.refresh(rows(spark, texts), path, 8).resumed == 0
+    assert frequencies(refresh.load_index(spark, path)) == {w: 1 for w in texts.values()}
+
+
 def test_coverage():
     assert Coverage(3, 3, 0).mode == "sealed" and Coverage(0, 0, 0).mode == "sealed"
     assert Coverage(3, 1, 2).mode == "frontier" and Coverage(3, 1, 2, completed=1).mode == "converging" and Coverage(3, 2, 0, rebuilding=1).mode == "converging"

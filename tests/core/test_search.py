@@ -188,3 +188,60 @@ def test_evidence(spark):
     assert [(r.path, r.pruned) for r in got] == [("p", 1), ("q", 1)]
     twice = spark.createDataFrame([("a", {"k": 1}), ("a", {"k": 1}), (None, None)], "x string, m map<string,int>")
     assert project.distinct_context(twice).count() == 2
+
+
+def test_a_late_lane_is_left_out(spark, artifacts):
+    import time
+
+    def slow(variants, corpus, k):
+        time.sleep(30)
+        raise AssertionError("nobody waits for this")
+
+    def broken(variants, corpus, k):
+        raise RuntimeError("no")
+
+    plan.register_lane("slow", slow)
+    plan.register_lane("broken", broken)
+    try:
+        own, queries = engine.Corpus(artifacts), asked(spark, "the beta cache", "alpha")
+        want = engine.candidates(plan.resolve("bm25"), queries, own).select("query_id", "artifact_id", "score", "rank").collect()
+        for lanes in (("bm25", "slow"), ("broken", "bm25"), ("slow",)):
+            mixed = plan.resolve("bm25").with_overrides(lanes)
+            began = time.monotonic()
+            got = engine.candidates(mixed, queries, own, timeout=10.0).select("query_id", "artifact_id", "score", "rank").collect()
+            assert sorted(got) == sorted(want) and time.monotonic() - began < 28
+        with pytest.raises(ValueError):
+            plan.register_lane("bm25", slow)
+    finally:
+        plan.OWN_LANES.clear()
+    with pytest.raises(ValueError):
+        plan.resolve("bm25").with_overrides(("slow",))
+
+
+def test_registered_fusion(spark, artifacts):
+    plan.register_fusion("least", lambda lanes, shortlist, payload: fusion.rrf(lanes, 1, payload))
+    try:
+        plan.register_preset(plan.SearchPlan("mine", "none", ("bm25",), "least", "none"))
+        assert engine.candidates(plan.resolve("mine"), asked(spark, "beta"), engine.Corpus(artifacts)).count() == 1
+    finally:
+        plan.FUSIONS.pop("least"), plan.PRESETS.pop("mine", None)
+
+
+def test_index_is_kept_and_made_anew(spark, artifacts, tmp_path):
+    path = str(tmp_path / "kept")
+    first = ix.stored(artifacts, path)
+    files = sorted(first.postings.inputFiles())
+    assert sorted(ix.stored(artifacts, path).postings.inputFiles()) == files
+    terms = spark.createDataFrame([("beta",)], "term string")
+    assert {r.term for r in ix.of_terms(first.postings, terms).collect()} == {"beta"}
+    plan_text = ix.of_terms(first.postings, terms)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan_text and "EqualTo(term,beta)" in plan_text
+    more = artifacts.where("artifact_id <> 'a'")
+    assert sorted(ix.stored(more, path).postings.inputFiles()) != files
+    assert ix.stored(more, path).totals.first().num_docs == 3
+
+
+def test_phrases_in_blocks(spark, artifacts):
+    wanted = spark.createDataFrame([("cache",), ("beta",), (None,), ("",), ("body",)], "phrase string")
+    rows = [sorted(tuple(r) for r in retrieve.contained_any(artifacts, wanted, ["artifact_id"], "text", block).collect()) for block in (100, 1)]
+    assert rows[0] == rows[1] and ("d", "cache") in rows[0] and retrieve.contained_any(artifacts, wanted.limit(0), ["artifact_id"], "text").count() == 0
