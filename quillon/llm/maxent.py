@@ -30,7 +30,7 @@ BATCH = 8192
 PART = 1 << 20  # bytes of text at a time, as tasks hold tables beside it
 RATE = 0.08
 ROUNDS = 2
-BLOCK = 256
+BLOCK = 1024
 HISTORY = 3
 NOTHING = -30.0  # logit of a class without words
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -228,15 +228,15 @@ class Trainer:
                     node = tree.node[level][own[at]]
                     self.step(tree.prior[node], rows_of(found[:, i + at], node, self.size), tree.digit[level][own[at]].astype(np.int64))
 
-    def deltas(self, task: int) -> Iterator[pa.RecordBatch]:
+    def deltas(self, salt: int) -> Iterator[pa.RecordBatch]:
         """What the steps have changed and how many words touched each row, in blocks of BLOCK rows."""
         start = self.model.loaded().weights if self.model.files or self.model.weights is not None else None
         count = self.seen.reshape(-1, BLOCK)
         some = np.flatnonzero(count.any(1))
-        for part in np.array_split(some, -(-len(some) // 256) or 1):
+        for part in np.array_split(some, -(-len(some) // 64) or 1):
             rows = [slice(b * BLOCK, (b + 1) * BLOCK) for b in part.tolist()]
             bodies = [(self.weights[r] - (0 if start is None else start[r])).astype(np.float16).tobytes() for r in rows]
-            columns = [pa.array(part, pa.int32()), pa.array(np.full(len(part), task % FAN), pa.int32()), pa.array([count[b].tobytes() for b in part.tolist()], pa.binary()), pa.array(bodies, pa.binary())]
+            columns = [pa.array(part, pa.int32()), pa.array(np.full(len(part), salt), pa.int32()), pa.array([count[b].tobytes() for b in part.tolist()], pa.binary()), pa.array(bodies, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "salt", "n", "delta"])
 
 
@@ -323,7 +323,7 @@ def weighted(rows: pa.Table, by_salt: bool) -> pa.Table:
 
 
 def add_up(parts: DataFrame) -> DataFrame:
-    """(block, total) of (block, salt, n, delta): first the changes of FAN-th tasks, then theirs, so that no task holds all."""
+    """(block, total) of (block, salt, n, delta): first the changes of FAN tasks each, then theirs, so that none is held with all others."""
     near = parts.groupBy("block", "salt").applyInArrow(lambda rows: weighted(rows, True), "block int, n binary, delta binary")
     return near.groupBy("block").applyInArrow(lambda rows: weighted(rows, False), "block int, total binary")
 
@@ -367,7 +367,7 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counted:
                 codes, of = words_of(buf, offs)
                 if len(codes):
                     trainer.learn(codes, of)
-            yield from trainer.deltas(TaskContext.get().partitionId())
+            yield from trainer.deltas(TaskContext.get().partitionId() // FAN)
 
         parts = texts.coalesce(SPREAD * spark.sparkContext.defaultParallelism).mapInArrow(run, "block int, salt int, n binary, delta binary")
         merged = add_up(parts)
