@@ -16,7 +16,7 @@ from quillon.evaluate import reports
 from quillon.operators import expansion
 from quillon.plans import plan as plans
 from quillon.plans.engine import Corpus, HashEmbedder, Models
-from quillon.session import written
+from quillon.session import clean_up, written
 from quillon.sources import context, files, tsv
 
 
@@ -115,7 +115,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "config":
         print(settings.as_toml(), end="")
         return 0
-    spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
+    if spark is not None:
+        return run(args, settings, spark)
+    spark = SparkSession.builder.appName("quillon").getOrCreate()
+    try:
+        return run(args, settings, spark)
+    finally:  # nothing reads the written tables any more
+        clean_up(spark)
+        spark.stop()
+
+
+def run(args: argparse.Namespace, settings: config.Config, spark: SparkSession) -> int:
     if args.command == "search":
         if len(args.targets) > 2:
             raise SystemExit("search takes a query, or a path and a query")

@@ -1,4 +1,4 @@
-"""Text expressions that stay inside whole-stage code generation."""
+"""Text expressions of built-in functions alone: they stay in the JVM, though lambdas in them are interpreted."""
 
 from __future__ import annotations
 

@@ -415,6 +415,8 @@ SELECT a, b, round({subsequence('w', 'l')}, 9) AS subsequence, round(component,
     "path_fuzzy": f"""WITH r AS (SELECT DISTINCT n_name AS q, url AS x FROM nation, pages), s AS (SELECT * FROM {path_scores('r')}),
 g AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(page_id AS VARCHAR) AS artifact_id, round(score, 9) AS score FROM s JOIN nation ON n_name = q JOIN pages ON url = x WHERE round(score, 9) >= 0.78)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id) AS rank, artifact_id, score FROM g QUALIFY rank <= {K}""",
+    "controller_turns": f"""WITH {bm25(f"v AS (SELECT CAST(0 AS BIGINT) AS query_id, 0 AS variant_ord, '{ONE_QUERY}' AS text, 1.0::DOUBLE AS weight UNION ALL SELECT 1, 0, 'another reason', 1.0)", 5)}
+SELECT 'turn-' || CAST(query_id + 1 AS VARCHAR) AS turn_id, rank - 1 AS position, path, CAST(CASE WHEN query_id = 0 THEN 0 ELSE (SELECT count(*) FROM b) - 5 END AS BIGINT) AS pruned FROM b JOIN d USING (artifact_id)""",
     "segment_fuzzy": f"WITH v AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, 0 AS variant_ord, r_name AS text, 1.0::DOUBLE AS weight FROM region), {SEGS}, {line_lane(K)} SELECT query_id, rank, artifact_id, score, location, snippet FROM sl",
     "path_hybrid": page_plan("two"),
     "legacy_hybrid": page_plan("all"),
