@@ -416,9 +416,9 @@ SELECT a, b, round({subsequence('w', 'l')}, 9) AS subsequence, round(component,
 g AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(page_id AS VARCHAR) AS artifact_id, round(score, 9) AS score FROM s JOIN nation ON n_name = q JOIN pages ON url = x WHERE round(score, 9) >= 0.78)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id) AS rank, artifact_id, score FROM g QUALIFY rank <= {K}""",
     "controller_turns": f"""WITH {bm25(f"v AS (SELECT CAST(0 AS BIGINT) AS query_id, 0 AS variant_ord, '{ONE_QUERY}' AS text, 1.0::DOUBLE AS weight UNION ALL SELECT 1, 0, 'another reason', 1.0)", 5)},
-e AS (SELECT 1 AS turn, 0 AS origin, rank, path FROM b JOIN d USING (artifact_id) WHERE query_id = 0 UNION ALL SELECT 2, 1 - query_id, rank, path FROM b JOIN d USING (artifact_id)),
-o AS (SELECT turn, row_number() OVER (PARTITION BY turn ORDER BY origin, rank) - 1 AS position, path, greatest(count(*) OVER (PARTITION BY turn) - 5, 0) AS pruned FROM e)
-SELECT 'turn-' || CAST(turn AS VARCHAR) AS turn_id, CAST(position AS BIGINT) AS position, path, CAST(pruned AS BIGINT) AS pruned FROM o WHERE position < 5""",
+ev AS (SELECT 1 AS turn, 0 AS origin, rank, path FROM b JOIN d USING (artifact_id) WHERE query_id = 0 UNION ALL SELECT 2, 1 - query_id, rank, path FROM b JOIN d USING (artifact_id)),
+tu AS (SELECT turn, row_number() OVER (PARTITION BY turn ORDER BY origin, rank) - 1 AS position, path, greatest(count(*) OVER (PARTITION BY turn) - 5, 0) AS pruned FROM ev)
+SELECT 'turn-' || CAST(turn AS VARCHAR) AS turn_id, CAST(position AS BIGINT) AS position, path, CAST(pruned AS BIGINT) AS pruned FROM tu WHERE position < 5""",
     "segment_fuzzy": f"WITH v AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, 0 AS variant_ord, r_name AS text, 1.0::DOUBLE AS weight FROM region), {SEGS}, {line_lane(K)} SELECT query_id, rank, artifact_id, score, location, snippet FROM sl",
     "path_hybrid": page_plan("two"),
     "legacy_hybrid": page_plan("all"),
