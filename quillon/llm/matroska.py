@@ -40,6 +40,14 @@ def element(data: bytes, at: int, end: int) -> tuple[int, int, int, int]:
     return ident, body, (end if size == UNKNOWN else min(body + size, end)), size
 
 
+def child(data: bytes, at: int, end: int) -> tuple[int, int, int]:
+    """(id, first byte of the body, its end) of an element that must end within its parent."""
+    ident, lo, hi, size = element(data, at, end)
+    if size != UNKNOWN and lo + size > end:
+        raise ValueError(f"cut off at {at}")
+    return ident, lo, hi
+
+
 def laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     """Byte ranges of the frames of a block whose flags say lacing `kind` (0 none, 1 Xiph, 2 fixed size, 3 EBML)."""
     if kind == 0:
@@ -115,7 +123,12 @@ class Media:
 def parse(data: bytes) -> Media:
     """Packets of a Matroska file in file order. What comes before a fault is kept, and the fault is in `error`."""
     media, origin = Media(), 0
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
+    whole = 0  # where the segments say they end
+
+    def number(a: int, b: int) -> int:
+        if b - a > 8:
+            raise ValueError(f"integer of over 8 bytes at {a}")
+        return int.from_bytes(data[a:b], "big")
 
     def block(at: int, end: int, time: int, cluster: int, key: bool | None) -> None:
         begin = at
@@ -127,6 +140,8 @@ def parse(data: bytes) -> Media:
         step = media.tracks[track].duration if track in media.tracks else 0
         base = (time + relative) * media.scale
         for k, (lo, hi) in enumerate(laces(data, at + 3, end, flags >> 1 & 3)):
+            if not -(1 << 63) <= base + k * step < 1 << 63:
+                raise ValueError(f"timestamp beyond 64 bits at {begin}")
             media.packets.append(Packet(track, base + k * step, lo, hi, bool(flags & 0x80) if key is None else key, k, cluster, begin))
 
     def cluster_body(at: int, end: int, open_ended: bool, start: int) -> int:
@@ -144,22 +159,24 @@ def parse(data: bytes) -> Media:
             elif ident == 0xA0:
                 inner, key = [], True
                 p = lo
-                while p < hi:
-                    i, a, b, _ = element(data, p, hi)
-                    if i == 0xA1:
-                        inner.append((a, b))
-                    elif i == 0xFB:
-                        key = False
-                    p = b
-                for a, b in inner:
-                    block(a, b, time, start, key)
+                try:
+                    while p < hi:
+                        i, a, b = child(data, p, hi)
+                        if i == 0xA1:
+                            inner.append((a, b))
+                        elif i == 0xFB:
+                            key = False
+                        p = b
+                finally:  # blocks before a faulty element are kept
+                    for a, b in inner:
+                        block(a, b, time, start, key)
             at = hi
         return at
 
     def track_entry(at: int, end: int) -> None:
         track = Track()
         while at < end:
-            ident, lo, hi, _ = element(data, at, end)
+            ident, lo, hi = child(data, at, end)
             if ident == 0xD7:
                 track.number = number(lo, hi)
             elif ident == 0x83:
@@ -174,14 +191,14 @@ def parse(data: bytes) -> Media:
     def cue_point(at: int, end: int) -> None:
         time, places = 0, []
         while at < end:
-            ident, lo, hi, _ = element(data, at, end)
+            ident, lo, hi = child(data, at, end)
             if ident == 0xB3:
                 time = number(lo, hi)
             elif ident == 0xB7:
                 track = place = 0
                 p = lo
                 while p < hi:
-                    i, a, b, _ = element(data, p, hi)
+                    i, a, b = child(data, p, hi)
                     track, place = (number(a, b), place) if i == 0xF7 else (track, number(a, b)) if i == 0xF1 else (track, place)
                     p = b
                 places.append((track, place))
@@ -198,13 +215,14 @@ def parse(data: bytes) -> Media:
             ident, lo, hi, size = element(data, at, end)
             if ident == SEGMENT:
                 origin, at = lo, lo
+                whole = max(whole, lo + size)
                 continue  # its children are read in the same loop
             if size != UNKNOWN and lo + size > end and ident != CLUSTER:
                 raise ValueError(f"cut off at {at}")
             if ident == INFO or ident == TRACKS or ident == CUES:
                 p = lo
                 while p < hi:
-                    i, a, b, _ = element(data, p, hi)
+                    i, a, b = child(data, p, hi)
                     if i == 0x2AD7B1:
                         media.scale = number(a, b)
                     elif i == 0xAE:
@@ -217,6 +235,8 @@ def parse(data: bytes) -> Media:
                 if size != UNKNOWN and lo + size > end:
                     raise ValueError(f"cut off at {at}")
             at = hi
+        if whole > end:
+            raise ValueError(f"cut off at {end}")
     except ValueError as fault:
         media.error = str(fault)
     cued = {(place, track, time * media.scale) for time, track, place in media.cues}
@@ -301,7 +321,11 @@ KIND = "doc_id bigint, packet bigint, track bigint, codec string, timestamp_ns b
 
 
 def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): each text as a Matroska file of text packets; a null text has null media."""
+    """(doc_id, media): each text as a Matroska file of text packets.
+
+    A null text has null media, an empty one a file without packets; a long one is one file of many clusters. Null ids
+    and repeated rows are kept, each with its file; an empty table gives none; other columns are not read.
+    """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +343,8 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     byte_start and byte_end are the payload's range in the file, payload_md5 is that of the range. Timestamps are
     in ns; the frames of a lace follow each other by the track's default duration. cued says that a cue
     point names the packet. A faulty or cut-off file gives the packets before the fault and then one row
-    whose error is set and whose packet is their number; a null or empty one gives no rows (empty: an error row).
+    whose error is set and whose packet is their number; an element that ends beyond its parent, an integer of over
+    8 bytes and a timestamp beyond 64 bits are faults. A null file gives no rows, an empty one an error row.
     Null ids and repeated rows are kept; an empty table gives no rows; other columns are not read.
     """
     import hashlib

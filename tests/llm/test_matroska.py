@@ -72,6 +72,25 @@ def test_faults_keep_what_came_before():
         M.parse(bytes(broken))
 
 
+def test_children_that_exceed_their_parents_are_faults():
+    top, front = M.head()
+    block = M.put(0xA1, b"\x81\x00\x00\x00first")
+    long = b"\xfb\x88\x01"  # says 8 bytes, has one
+    after = cluster(M.put(0xA3, b"\x81\x00\x00\x00after"))
+    group = cluster(M.put(0xA0, block + long))
+    entry = M.put(M.TRACKS, M.put(0xAE, b"\xd7\x88\x01"))
+    cue = M.put(M.CUES, M.put(0xBB, M.put(0xB7, b"\xf7\x88\x01")))
+    wide = M.put(M.INFO, M.put(0x2AD7B1, b"\x01" * 9))
+    late = cluster(M.put(0xE7, b"\xff" * 8) + M.put(0xA3, b"\x81\x00\x00\x00late"))
+    for body, kept in ((group, [b"first"]), (entry, []), (cue, []), (wide, []), (late, [])):
+        raw = top + M.put(M.SEGMENT, front + body + after)
+        media = M.parse(raw)
+        assert media.error and [raw[p.start : p.end] for p in media.packets] == kept
+    raw = top + M.put(M.SEGMENT, front + after + M.put(0xEC, b"void"))
+    media = M.parse(raw[:-6])  # between two elements
+    assert media.error and len(media.packets) == 1 and M.parse(raw).error is None
+
+
 def test_documents(spark):
     rows = [(1, None), (2, ""), (3, "same"), (3, "same"), (None, "x"), (5, "långt " * 5000)]
     df = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id bigint, text string, media_ string, error string")
@@ -79,6 +98,7 @@ def test_documents(spark):
     assert [(r.doc_id, r.packet) for r in got][:3] == [(3, 0), (3, 0), (None, 0)] and len(got) == 3 + 88
     assert not any(r.error for r in got)
     assert M.packets(M.with_media(df.limit(0))).count() == 0
-    odd = spark.createDataFrame([(1, b""), (2, b"junk"), (3, None), (4, M.mux(b"q" * 2000)[:-900])], "doc_id bigint, media binary")
+    late = M.head()[0] + M.put(M.SEGMENT, M.head()[1] + cluster(M.put(0xE7, b"\xff" * 8) + M.put(0xA3, b"\x81\x00\x00\x00late")))
+    odd = spark.createDataFrame([(1, b""), (2, b"junk"), (3, None), (4, M.mux(b"q" * 2000)[:-900]), (5, late)], "doc_id bigint, media binary")
     got = M.packets(odd).collect()
-    assert [r.doc_id for r in got if r.error] == [1, 2, 4] and {r.doc_id for r in got} == {1, 2, 4}
+    assert [r.doc_id for r in got if r.error] == [1, 2, 4, 5] and {r.doc_id for r in got} == {1, 2, 4, 5}
