@@ -124,10 +124,15 @@ class Words:
         return np.repeat(np.arange(len(self.of) - 1), self.count)
 
 
+def told(buf: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """by[buf] of a table of 256 single bytes, without an index of eight bytes to each."""
+    return np.frombuffer(bytearray(buf).translate(by.tobytes()), by.dtype)
+
+
 def find_words(buf: np.ndarray, offs: np.ndarray) -> Words:
     if not len(buf):
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64))
-    ink = ~_SPACE[buf]
+    ink = ~told(buf, _SPACE)
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     begins = offs[:-1][offs[:-1] < len(buf)]
@@ -147,10 +152,10 @@ def word_hashes(buf: np.ndarray, words: Words) -> np.ndarray:
 
 def fold(buf: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the two-byte Latin-1 capitals, in place of the same length."""
-    out = _FOLD[buf]
-    if len(buf) > 1:
-        capital = (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)
-        out[1:][capital] += 32
+    out = told(buf, _FOLD)
+    at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    of = buf[at]
+    out[at[(of >= 0x80) & (of <= 0x9E) & (of != 0x97)]] += 32
     return out
 
 
@@ -159,11 +164,11 @@ def folded_hashes(buf: np.ndarray, words: Words, front: int | None = None) -> np
     if not len(words.start):
         return np.zeros(0, np.uint64)
     low = fold(buf)
-    keep = _KEEP[low]
-    at = np.zeros(len(buf) + 1, np.int64)
+    keep = told(low, _KEEP)
+    at = np.zeros(len(buf) + 1, np.int32 if len(buf) < 1 << 31 else np.int64)
     np.cumsum(keep, out=at[1:])
-    lo, hi = at[words.start], at[words.end]
-    return run_hashes(low[keep], lo, hi if front is None else np.minimum(hi, lo + front))
+    lo, hi = at[words.start].astype(np.int64), at[words.end].astype(np.int64)
+    return run_hashes(low.compress(keep), lo, hi if front is None else np.minimum(hi, lo + front))
 
 
 def clean(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

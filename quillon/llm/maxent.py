@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ ROUNDS = 2
 BLOCK = 1024
 HISTORY = 3
 NOTHING = -30.0  # logit of a class without words
+NEAR = 4  # codes that are gone past before a search by halves
+FEW = 6  # gradients of a row that are added up place by place
+_LINE = np.dtype((np.void, 4 * WAYS))  # a row of weights as one value, which numpy moves at once
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -53,12 +57,37 @@ class Tree:
     prior: np.ndarray
     rest: int
 
+    @cached_property
+    def begins(self) -> tuple[np.ndarray, np.uint64]:
+        """Where the codes of each value of the first bits begin, four values or more to a code, and how far to shift for it."""
+        bits = max(8, (4 * len(self.codes)).bit_length())
+        shift = U(64 - bits)
+        return np.searchsorted(self.codes, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32), shift
+
+    @cached_property
+    def deeper(self) -> np.ndarray:
+        """Of each word, the sum of the priors below the levels that the context is asked for."""
+        out = np.zeros(len(self.depth))
+        for level in range(CONTEXT, len(self.digit)):
+            at = np.flatnonzero(self.depth > level)
+            out[at] += self.prior[self.node[level][at], self.digit[level][at]]
+        return out
+
     def find(self, codes: np.ndarray) -> np.ndarray:
         """Leaf of each word."""
         if not len(self.codes):
             return np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, len(self.codes))
+        begins, shift = self.begins
+        last = len(self.codes) - 1
+        at = np.minimum(begins.take((codes >> shift).astype(np.int64)), last).astype(np.int64)
+        low = np.flatnonzero(self.codes.take(at) < codes)
+        for _ in range(NEAR):  # as codes are hashes, few begin alike
+            at[low] += 1
+            low = low[at.take(low) <= last]
+            low = low[self.codes.take(at.take(low)) < codes.take(low)]
+        at[low] = np.searchsorted(self.codes, codes[low])
+        np.minimum(at, last, out=at)
+        return np.where(self.codes.take(at) == codes, at, len(self.codes))
 
 
 def grow(codes: np.ndarray, counts: np.ndarray, rest: int) -> Tree:
@@ -152,35 +181,64 @@ def rows_of(hashes: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
     return ((mix(hashes + (node.astype(np.uint64) + U(1)) * _SALT[0]) >> U(20)) % U(size)).astype(np.int64)
 
 
-def softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Probabilities given each position's prior logits and its active weight rows (a sparse row of ones)."""
+def logits(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits given each position's prior logits and its active weight rows (a sparse row of ones)."""
     p = prior.copy()
     more = np.empty_like(p)
     for r in rows:
         p += np.take(weights, r, axis=0, mode="clip", out=more)
-    np.clip(p, -60, 30, out=p)
+    return np.clip(p, -60, 30, out=p)
+
+
+def softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities given each position's prior logits and its active weight rows."""
+    p = logits(prior, weights, rows)
     np.exp(p, out=p)
     p *= 1.0 / (p @ np.ones((p.shape[1], 1), p.dtype))
     return p
 
 
+def places(tree: Tree, found: np.ndarray, leaf: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which words have a class at a level, its prior logits, their weight rows and their digits."""
+    at = np.flatnonzero(tree.depth.take(leaf) > level)
+    own = leaf.take(at)
+    node = tree.node[level].take(own)
+    return at, tree.prior.take(node, axis=0), rows_of(found.take(at, axis=1), node, size), tree.digit[level].take(own).astype(np.int64)
+
+
 def log_probs(model: Model, codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log P(leaf | context) of each word, the sum over its classes' levels, and which leaf it is."""
     tree, found, leaf = model.tree, features(codes, of), model.tree.find(codes)
     out = np.zeros(len(codes), np.float64)
     for i in range(0, len(codes), BATCH):
         own = leaf[i : i + BATCH]
-        for level in range(len(tree.digit)):
-            at = np.flatnonzero(tree.depth[own] > level)
+        for level in range(min(CONTEXT, len(tree.digit))):
+            at, prior, rows, digit = places(tree, found[:, i : i + BATCH], own, level, model.size)
             if not len(at):
                 break
-            node, digit = tree.node[level][own[at]], tree.digit[level][own[at]]
-            if level < CONTEXT:
-                p = softmax(tree.prior[node], model.weights, rows_of(found[:, i + at], node, model.size))
-                out[i + at] += np.log(np.maximum(p[np.arange(len(at)), digit], 1e-30))
-            else:
-                out[i + at] += tree.prior[node, digit]
-    return out, leaf
+            p = logits(prior, model.weights, rows)
+            wanted = p.ravel().take(np.arange(0, p.size, WAYS) + digit)
+            np.exp(p, out=p)
+            out[i + at] += np.maximum(wanted - np.log(p @ np.ones(WAYS, p.dtype)), np.log(1e-30))
+    return out + tree.deeper.take(leaf), leaf
+
+
+def summed(p: np.ndarray, example: np.ndarray, first: np.ndarray, count: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of several, and for each the sum of p over the examples from its first one on; up to FEW examples are added
+    place by place for all rows with so many, as sums over short stretches are slow."""
+    capped = np.minimum(count.take(several), FEW)
+    several = several.take(np.argsort((FEW - capped).astype(np.uint8), kind="stable"))  # the most examples first
+    upto = np.cumsum(np.bincount(capped, minlength=FEW + 1)[::-1])[::-1].tolist()  # upto[k] rows have k examples or more
+    start, many = first.take(several), upto[FEW]
+    total = np.take(p, example.take(start), axis=0, mode="clip")
+    for k in range(1, FEW - 1):
+        if upto[k + 1] > many:
+            total[many : upto[k + 1]] += np.take(p, example.take(start[many : upto[k + 1]] + k), axis=0, mode="clip")
+    if many:
+        each = count.take(several[:many])
+        among = np.take(p, example.compress(np.repeat(count >= FEW, count)), axis=0, mode="clip")
+        total[:many] = np.add.reduceat(among, np.cumsum(each) - each, axis=0)
+    return several, total.view(_LINE).ravel()
 
 
 class Trainer:
@@ -191,42 +249,49 @@ class Trainer:
         loaded = model.loaded()
         self.tree, self.size = model.tree, model.size
         self.weights = loaded.weights.copy() if model.weights is not None or model.files else np.zeros((model.size, WAYS), np.float32)
-        self.squares = np.full(model.size, 1e-6, np.float32)
-        self.seen = np.zeros(model.size, np.float32)  # words that touched each row
+        self.state = np.full(model.size, 1e-6, np.complex64)  # of each row the sum of squares and the words that touched it, side by side
+
+    @property
+    def seen(self) -> np.ndarray:
+        """Words that touched each row."""
+        return self.state.imag
 
     def step(self, prior: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-        weights, squares = self.weights, self.squares
-        p = softmax(prior, weights, rows)
-        p[np.arange(len(target)), target] -= 1.0  # gradient of the negative log-likelihood by the logits
-        flat = rows.ravel()
-        order = np.argsort(flat)
-        there = flat.take(order)
-        first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-        count = np.diff(first, append=len(there))
-        own = there.take(first)
-        example = order % len(target)
+        """Each distinct row is read and written once, in the order of the table; what is between is small enough for the cache."""
+        n, lines = len(target), self.weights.view(_LINE).ravel()
+        bits = U(rows.size.bit_length())
+        key = rows.astype(np.uint64).ravel() << bits | np.arange(rows.size, dtype=np.uint64)
+        key.sort()  # by row, then by place
+        there, place = key >> bits, (key & ((U(1) << bits) - U(1))).astype(np.int64)
+        new = np.concatenate([[True], there[1:] != there[:-1]])
+        first = np.flatnonzero(new)
+        own, count = there.take(first).astype(np.int64), np.diff(first, append=rows.size)
+        where = np.empty(rows.size, np.int64)
+        where[place] = np.cumsum(new) - 1
+        weights = np.take(self.weights, own, axis=0, mode="clip")
+        p = softmax(prior, weights, where.reshape(rows.shape))
+        p.reshape(-1)[np.arange(0, p.size, WAYS) + target] -= 1.0  # gradient of the negative log-likelihood by the logits
+        example = np.tile(np.arange(n), len(rows)).take(place)
         gradient = np.take(p, example.take(first), axis=0, mode="clip")
         several = np.flatnonzero(count > 1)  # most rows of long contexts are touched once
         if len(several):
-            each = count.take(several)
-            among = np.flatnonzero(np.repeat(count > 1, count))
-            gradient[several] = np.add.reduceat(np.take(p, example.take(among), axis=0, mode="clip"), np.cumsum(each) - each, axis=0)
-        self.seen[own] += count
-        size = squares.take(own) + np.einsum("ij,ij->i", gradient, gradient) / WAYS
-        squares[own] = size
-        gradient *= (-RATE / np.sqrt(size))[:, None]
-        gradient += np.take(weights, own, axis=0, mode="clip")
-        weights[own] = gradient
+            gradient.view(_LINE).ravel().put(*summed(p, example, first, count, several), mode="clip")
+        state = self.state.take(own)
+        square, seen = state.view(np.float32).reshape(-1, 2).T
+        square += (gradient * gradient) @ np.full(WAYS, 1.0 / WAYS, np.float32)
+        seen += count
+        self.state[own] = state
+        gradient *= np.repeat(-RATE / np.sqrt(square), WAYS).reshape(-1, WAYS)
+        gradient += weights
+        lines.put(own, gradient.view(_LINE).ravel(), mode="clip")
 
     def learn(self, codes: np.ndarray, of: np.ndarray) -> None:
         tree, found, leaf = self.tree, features(codes, of), self.tree.find(codes)
         for i in range(0, len(codes), BATCH):
-            own = leaf[i : i + BATCH]
             for level in range(min(CONTEXT, len(tree.digit))):
-                at = np.flatnonzero(tree.depth[own] > level)
+                at, prior, rows, digit = places(tree, found[:, i : i + BATCH], leaf[i : i + BATCH], level, self.size)
                 if len(at):
-                    node = tree.node[level][own[at]]
-                    self.step(tree.prior[node], rows_of(found[:, i + at], node, self.size), tree.digit[level][own[at]].astype(np.int64))
+                    self.step(prior, rows, digit)
 
     def deltas(self, salt: int) -> Iterator[pa.RecordBatch]:
         """What the steps have changed and how many words touched each row, in blocks of BLOCK rows."""

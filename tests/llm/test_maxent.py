@@ -173,3 +173,59 @@ def test_words_without_leaves_are_told_apart(spark):
             for (i, k, a), (j, m, b) in zip(plain_, got):
                 assert (i, k) == (j, m) and abs(b - a - want[(i, k)]) < 1e-4
             assert all(abs(r.bits_per_word + r.log_prob / r.n_words / math.log(2)) < 1e-9 for r in rows if r.n_words)
+
+
+def test_a_step_reads_each_row_once(monkeypatch):
+    """Rows that are touched by one, a few and many words move as summed up one by one, and none is looked up twice."""
+    model, rng = random_model(3), np.random.default_rng(3)
+    n = 600
+    rows = np.stack([np.minimum(rng.zipf(1.3, n), 900), 1000 + np.arange(n) // 3, 2000 + np.arange(n)])
+    rows[2, :5] = rows[0, :5]  # one word, two features, one row
+    prior, target = model.tree.prior[rng.integers(0, 3, n)], rng.integers(0, M.WAYS, n)
+    counts = Counter(rows.ravel().tolist())
+    assert {1, 2, 3} < set(counts.values()) and max(counts.values()) > 50
+    p = M.softmax(prior.astype(float), model.weights.astype(float), rows)
+    p[np.arange(n), target] -= 1
+    want = dict.fromkeys(counts, 0.0)
+    for r in rows:
+        for i, row in enumerate(r.tolist()):
+            want[row] = want[row] + p[i]
+    trainer, read, take = M.Trainer(model), [], np.take
+
+    def spy(a, indices, *args, **named):
+        if a is trainer.weights:
+            read.extend(np.asarray(indices).ravel().tolist())
+        return take(a, indices, *args, **named)
+
+    monkeypatch.setattr(np, "take", spy)
+    trainer.step(prior, rows, target)
+    assert sorted(read) == sorted(counts)
+    for row, g in want.items():
+        assert trainer.seen[row] == counts[row]
+        assert np.allclose(trainer.weights[row] - model.weights[row], -M.RATE * g / math.sqrt((g**2).mean() + 1e-6), atol=1e-4)
+    others = np.setdiff1d(np.arange(model.size), list(counts))
+    assert (trainer.weights[others] == model.weights[others]).all() and not trainer.seen[others].any()
+
+
+def test_leaves_of_words_that_begin_alike():
+    rng = np.random.default_rng(4)
+    for codes in (rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.arange(100, 160), np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64), np.array([7])):
+        codes = np.unique(codes.astype(np.uint64))
+        tree = M.grow(codes, rng.integers(2, 99, len(codes)), 3)
+        asked = np.concatenate([codes, codes + np.uint64(1), codes - np.uint64(1), np.array([0, 1 << 63, 2**64 - 1], np.uint64)])
+        place = {c: i for i, c in enumerate(codes.tolist())}
+        assert tree.find(asked).tolist() == [place.get(c, len(codes)) for c in asked.tolist()]
+
+
+def test_words_of_odd_bytes():
+    rng = random.Random(5)
+    signs = ["À", "É", "×", "Þ", "ß", "é", "Ÿ", "A", "z", "7", ".", "|", " ", "\n", "\t", "中"]
+    texts = ["", " ", "É", *("".join(rng.choices(signs, k=k)) for k in range(1, 200))]
+    codes, of = M.words_of(*flat(pa.array(texts)))
+    lower = {c: c.lower() for c in signs if "À" <= c <= "Þ" and c != "×"} | {"A": "a", ".": "", "|": ""}
+    want = [["".join(lower.get(c, c) for c in w) for w in t.split()] for t in texts]
+    assert np.diff(of).tolist() == [len(w) for w in want]
+    known = {}
+    for word, code in zip((w for ws in want for w in ws), codes.tolist()):
+        assert known.setdefault(word, code) == code
+    assert len(set(known.values())) == len(known)
