@@ -39,6 +39,10 @@ def test_extraction():
     assert extract.docx_text(zipped({"other": "x"})) is None
 
 
+def test_html_references_need_their_semicolon():
+    assert extract.html_text("<h1>a&&&amp</h1><p>b&amp;&amp; c &quo d &copy; e &copy f &#38; g &#38 h &ampx; i &nosuch;</p>") == "# a&&&amp\n\nb&& c &quo d © e &copy f & g &#38 h &ampx; i &nosuch;"
+
+
 def test_ignore_rules():
     hit = lambda rule, path: bool(re.search(files.ignore_regex(rule), path))
     assert hit("*.log", "a/b.log") and not hit("*.log", "a/b.logs")
