@@ -144,6 +144,15 @@ def sharded_index(artifacts: DataFrame, buckets: int, terms: DataFrame | None =
     return ix.Index(rows.drop("bucket"), df, per.agg(n.alias("num_docs"), F.when(n > 0, F.sum(F.col("num_docs") * F.col("avg_len")) / n).otherwise(0.0).alias("avg_len")))
 
 
+def summed(rows: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """As index.summed, merged from the counts of each sector."""
+    own = rows.withColumn("bucket", bucket_of(F.col("artifact_id"), buckets))
+    df = own.select("bucket", F.explode("ids").alias("id")).groupBy("bucket", "id").agg(F.count("*").alias("df")).groupBy("id").agg(F.sum("df").alias("df"))
+    per = own.groupBy("bucket").agg(F.count("*").alias("num_docs"), F.coalesce(F.avg(F.col("length").cast("double")), F.lit(0.0)).alias("avg_len"))
+    n = F.sum("num_docs")
+    return df, per.agg(n.alias("num_docs"), (F.sum(F.col("num_docs") * F.col("avg_len")) / n).alias("avg_len"))
+
+
 # ------------------------------------------------------------------------------------------------------------- stream
 
 
