@@ -99,3 +99,27 @@ def test_leaders_keep_the_best_sum_of_an_id():
 def test_sectors_merge_to_the_whole(spark, sf):
     a, b = (sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) for n in ("bm25_batch_topk", "bm25_sharded_merge"))
     assert a == b and a
+
+
+@pytest.mark.parametrize("block", (32_768, 12))
+def test_vectors_in_blocks_and_parted_artifacts(spark, block):
+    say = np.random.default_rng(3)
+    queries = [(i % 9, float(1 + i % 2), say.normal(size=4).round(2).tolist()) for i in range(20)]
+    # artifact 0 has more segments than a fourth of the small block, so it is parted; some vectors are of another length
+    segments = [(0 if i < 25 else i // 2, f"s{i:03}", say.normal(size=3 if i % 10 == 7 else 4).round(2).tolist()) for i in range(80)]
+    q = spark.createDataFrame(queries, "query_id bigint, weight double, vector array<double>")
+    s = spark.createDataFrame(segments, "artifact_id bigint, segment_id string, vector array<double>")
+    found = retrieve.top(retrieve.similarity_scores(q, s, 5, block=block), 5)
+    got = sorted((r.query_id, r["rank"], r.artifact_id, r.score, r.segment_id) for r in found.collect())
+    want = []
+    for query in range(9):
+        sums = {}
+        for artifact, name, y in segments:
+            for other, weight, x in queries:
+                if other == query and len(x) == len(y) and (v := weight * float(np.dot(x, y))) > retrieve.NOISE:
+                    total, hits, best = sums.get(artifact, (0.0, 0, (0.0, "")))
+                    sums[artifact] = (total + v, hits + 1, min(best, (-v, name)))
+        best = sorted((-round(t / np.sqrt(h + 1), 6), a, b[1]) for a, (t, h, b) in sums.items())[:5]
+        want += [(query, i, a, -score, name) for i, (score, a, name) in enumerate(best, 1)]
+    assert got == want
+    assert retrieve.similarity_scores(q.where("false"), s, 5).count() == 0 and retrieve.similarity_scores(q, s.where("false"), 5).count() == 0
