@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import WORD_BREAK
-from quillon.session import prepare, written
+from quillon.session import prepare
 
 BUCKETS = 32
 
@@ -52,6 +52,31 @@ def counted(artifacts: DataFrame, terms: pa.Array) -> DataFrame:
     return own.mapInArrow(run, f"artifact_id {dict(artifacts.dtypes)['artifact_id']}, length bigint, ids array<int>, tfs array<int>")
 
 
+def tallied(artifacts: DataFrame) -> DataFrame:
+    """postings() of artifacts whose identifiers do not repeat: each text is counted where it is read, and nothing is shuffled."""
+    prepare(artifacts.sparkSession)
+    kind = artifacts.schema["artifact_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                words = batch.column(2)
+                coded = pc.dictionary_encode(words.flatten())
+                names, n = coded.dictionary, max(len(coded.dictionary), 1)
+                row = np.repeat(np.arange(len(words), dtype=np.int64), pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                cells, tf = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                at, term = pa.array(cells // n), names.take(pa.array(cells % n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), term, pa.array(tf, pa.int64())], names=["artifact_id", "length", "term", "tf"])
+
+    own = artifacts.select("artifact_id", F.octet_length("text").cast("bigint").alias("length"), F.split(F.lower("text"), WORD_BREAK).alias("words"))
+    return own.mapInArrow(run, f"artifact_id {kind}, length bigint, term string, tf bigint").where("term <> ''")
+
+
+def repeated(rows: DataFrame, *key: str) -> bool:
+    return bool(rows.groupBy(*key).count().where("count > 1").head(1))
+
+
 def summed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, df) and (num_docs, avg_len) of counted rows."""
     return rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("num_docs"), F.avg(F.col("length").cast("double")).alias("avg_len"))
@@ -95,11 +120,17 @@ def merge(shards: list[Index]) -> Index:
 
 def save(index: Index, path: str) -> None:
     """Write an index. Postings are clustered by term, so that a read by terms skips row groups."""
-    index.postings.withColumn("bucket", _folder(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    _save_postings(index.postings, path)
     index.frequency.write.mode("overwrite").parquet(f"{path}/frequency")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
+def _save_postings(rows: DataFrame, path: str) -> None:
+    """A folder's terms are parted over several tasks, each of which has all rows of a term."""
+    own = rows.withColumn("bucket", _folder(F.col("term"))).repartition("bucket", F.pmod(F.hash("term"), F.lit(32)))
+    own.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
 def of_terms(rows: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
     """postings of the terms, where those are few and the postings are stored: only their folders and row groups are read."""
     if "bucket" not in rows.columns or dict(rows.dtypes)["bucket"] != "int":
@@ -122,8 +153,9 @@ def stored(artifacts: DataFrame, path: str) -> Index:
     now = signature(artifacts)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) and spark.read.parquet(f"{path}/signature").first() == now.first():
         return load(spark, path)
-    rows = written(postings(artifacts), "postings")
-    save(Index(rows, document_frequency(rows), totals(artifacts)), path)
+    _save_postings(postings(artifacts) if repeated(artifacts, "artifact_id") else tallied(artifacts), path)
+    document_frequency(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/frequency")
+    totals(artifacts).write.mode("overwrite").parquet(f"{path}/totals")
     now.write.mode("overwrite").parquet(f"{path}/signature")  # last, so that it marks a whole index
     return load(spark, path)
 

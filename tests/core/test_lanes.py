@@ -84,7 +84,7 @@ def test_bm25_and_phrases_move_few_rows(spark, monkeypatch, twice):
     segments = context.segments(artifacts)
     new = names(retrieve.phrase(own, segments, 4))
     assert new == names(retrieve.phrase(own, segments, 4, most=3)) and new
-    monkeypatch.setattr(retrieve, "repeated", lambda *_: True)
+    monkeypatch.setattr(retrieve.ix, "repeated", lambda *_: True)
     assert new == names(retrieve.phrase(own, segments, 4))
 
 
@@ -123,3 +123,16 @@ def test_vectors_in_blocks_and_parted_artifacts(spark, block):
         want += [(query, i, a, -score, name) for i, (score, a, name) in enumerate(best, 1)]
     assert got == want
     assert retrieve.similarity_scores(q.where("false"), s, 5).count() == 0 and retrieve.similarity_scores(q, s.where("false"), 5).count() == 0
+
+
+def test_stored_index_is_counted_where_texts_are_read(spark, tmp_path):
+    texts = [*made(90, 20), "", "..."]
+    artifacts = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)] + [("x", None)], "artifact_id string, text string")
+    twice = artifacts.unionByName(artifacts.where("artifact_id < '005'"))
+    rows = lambda df: sorted(map(tuple, df.select("term", "artifact_id", "length", "tf").collect()))
+    assert rows(retrieve.ix.tallied(artifacts)) == rows(retrieve.ix.postings(artifacts))
+    for i, own in enumerate((artifacts, twice)):
+        kept = retrieve.ix.stored(own, str(tmp_path / str(i)))
+        assert rows(kept.postings) == rows(retrieve.ix.postings(own))
+        assert sorted(map(tuple, kept.frequency.collect())) == sorted(map(tuple, retrieve.ix.document_frequency(retrieve.ix.postings(own)).collect()))
+    assert "Exchange" not in retrieve.ix.tallied(artifacts)._jdf.queryExecution().executedPlan().toString()
